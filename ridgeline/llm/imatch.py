@@ -91,17 +91,20 @@ def _from_rate(terms: Column, n: int) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints."""
-    by_rate = []
-    for n in range(len(RATES)):
-        at = [1 + 6 * (n * PER_RATE + j) for j in range(PER_RATE)]
-        x = [(F.substring(a, p, 6), F.substring(b, p, 6)) for p in at]
-        used = sum(((~((u == "------") & (v == "------"))).cast("int") for u, v in x), F.lit(0))
-        same = sum((((u == v) & (u != "------")).cast("int") for u, v in x), F.lit(0))
-        by_rate.append((same, used))
-    best = F.greatest(*[F.when(u >= LEAST_LEXICONS, s / u) for s, u in by_rate], F.lit(-1.0))
-    total = F.try_divide(sum((s for s, _ in by_rate), F.lit(0)), sum((u for _, u in by_rate), F.lit(0)))
+    every = F.sequence(F.lit(0), F.lit(len(RATES) * PER_RATE - 1))
+    parts = lambda x: F.transform(every, lambda i: x.substr(i * 6 + 1, F.lit(6)))
+    # Of each lexicon: 0 neither has a term, 1 they differ, 2 they agree.
+    state = F.zip_with(parts(a), parts(b), lambda u, v: F.when(u != v, 1).when(u == "------", 0).otherwise(2))
     whole = a.startswith("=") | b.startswith("=")
-    return F.when(a == b, 1.0).when(whole, 0.0).when(best >= 0, best).otherwise(F.coalesce(total, F.lit(0.0))).cast("double")
+    return F.when(a == b, 1.0).when(whole, 0.0).otherwise(_let(state, _best)).cast("double")
+
+
+def _best(state: Column) -> Column:
+    used = lambda x: F.size(F.filter(x, lambda c: c > 0))
+    same = lambda x: F.size(F.filter(x, lambda c: c == 2))
+    rates = F.transform(F.sequence(F.lit(0), F.lit(len(RATES) - 1)), lambda n: F.slice(state, n * PER_RATE + 1, F.lit(PER_RATE)))
+    shares = F.transform(F.filter(rates, lambda x: used(x) >= LEAST_LEXICONS), lambda x: same(x) / used(x))
+    return F.coalesce(F.array_max(shares), F.try_divide(same(state), used(state)), F.lit(0.0))
 
 
 def next_ids(keys: DataFrame) -> DataFrame:
@@ -119,8 +122,8 @@ def next_ids(keys: DataFrame) -> DataFrame:
     return inside.join(tops, "block").select("key", "k", F.coalesce("next_key", "below").alias("next_key"))
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, key, next_key, text, edited: the last third of the text replaced by the next document's start.
+def edited_pairs(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, key, next_key, text, edited: the last third of the text replaced by the next document's start; whether rows repeat.
 
     Texts are dealt by key once; both joins read that one exchange.
     """
@@ -130,26 +133,28 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     keys = cut(docs.select("doc_id", key.alias("key"), F.floor(F.char_length(text) / 3).cast("int").alias("k")), "imatch-keys")
     links = cut(next_ids(keys), "imatch-next")
     once = texts
-    if not links.groupBy("key").count().where("count > 1").isEmpty():  # repeated rows
+    repeated = not links.groupBy("key").count().where("count > 1").isEmpty()
+    if repeated:
         once, links = texts.dropDuplicates(["key"]), links.groupBy("key").agg(F.first("k").alias("k"), F.min("next_key").alias("next_key"))
     starts = links.join(once.select(F.col("key").alias("next_key"), F.col("text").alias("t")), "next_key")
     starts = starts.select("key", "next_key", "k", F.col("t").substr(F.lit(1), F.col("k")).alias("start"))
     kept = F.col("text").substr(F.lit(1), F.char_length("text") - F.col("k"))
     doc_id = F.substring_index("key", ":", 1).try_cast("long")
-    return texts.join(starts, "key").select(doc_id.alias("doc_id"), "key", "next_key", "text", F.concat(kept, "start").alias("edited"))
+    return texts.join(starts, "key").select(doc_id.alias("doc_id"), "key", "next_key", "text", F.concat(kept, "start").alias("edited")), repeated
 
 
 def op8_imatch(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmap = lexicon(docs)
-    pairs = edited_pairs(docs).withColumn("bits", bitmap)
-    prints = pairs.select(
+    pairs, repeated = edited_pairs(docs)
+    prints = pairs.withColumn("bits", bitmap).select(
         "doc_id", "key", "next_key", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text"), F.col("bits")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("bits")).alias("edited_fingerprint"),
     )
     prints = cut(prints, "imatch-prints")
-    after = prints.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["next_key"])
+    after = prints.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
+    after = after.dropDuplicates(["next_key"]) if repeated else after
     return prints.join(after, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
