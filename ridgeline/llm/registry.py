@@ -1,13 +1,16 @@
 """The queries of this subpackage and the SQL that some must agree with."""
 
-from ridgeline.llm import imatch, mixing, secrets
+from ridgeline.llm import decontaminate, imatch, mixing, secrets, simhash
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_secret_ledger": secrets.op5_secret_ledger,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_imatch": imatch.op8_imatch,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }
