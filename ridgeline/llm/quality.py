@@ -32,7 +32,7 @@ RULES = 120
 SEED = 7
 
 #: Names of columns in between; no table is expected to have them.
-_TEXT, _LENGTH, _WORDS, _STAT = "__quality_text", "__quality_length", "__quality_words", "__quality_stat"
+_TEXT, _LENGTH, _WORDS, _STATS = "__quality_text", "__quality_length", "__quality_words", "__quality_stats"
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -43,12 +43,16 @@ def _count(pattern: str) -> Column:
     return F.regexp_count(F.col(_TEXT), F.lit(pattern))
 
 
-def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = _STAT) -> DataFrame:
-    """Adds `prefix`0, `prefix`1, ...: the values of statistics(), in their order."""
+def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds the array of the values of statistics(), in their order.
+
+    The array comes out of a generator (of one row), which no filter or projection is moved through: so each
+    statistic is computed once a row, whatever is done with the score.
+    """
     df = df.withColumn(_TEXT, text_of(text_col))
     df = df.withColumn(_LENGTH, F.char_length(_TEXT)).withColumn(_WORDS, F.split(F.trim(F.regexp_replace(_TEXT, rf"[{SPACE}]+", " ")), " "))
-    df = df.select("*", *[expr.cast("double").alias(f"{prefix}{i}") for i, (_, expr) in enumerate(statistics())])
-    return df.drop(_TEXT, _LENGTH, _WORDS)
+    values = F.array(*[F.coalesce(expr.cast("double"), F.lit(0.0)) for _, expr in statistics()])
+    return df.withColumn(_STATS, F.explode(F.array(values))).drop(_TEXT, _LENGTH, _WORDS)
 
 
 def statistics() -> tuple[tuple[str, Column], ...]:
@@ -82,24 +86,21 @@ class Model:
     #: (slope, statistic, low, high, mean)
     linear: list[tuple[float, int, float, float, float]] = field(default_factory=list)
 
-    def column(self, prefix: str = _STAT) -> Column:
-        """The compiled score over the statistics' columns.
+    def column(self, stats: str = "") -> Column:
+        """The compiled score over the array of statistics.
 
         The rules are rows of one constant array that a higher-order function walks, so the generated code
         stays small however many rules there are.
         """
-        stats = F.array(*[F.coalesce(F.col(f"{prefix}{i}"), F.lit(0.0)) for i in range(len(statistics()))])
+        x = F.col(stats or _STATS)
         total = F.lit(self.bias)
         for slope, i, low, high, mean in self.linear:
-            total = total + F.lit(slope) * (F.least(F.greatest(F.col(f"{prefix}{i}"), F.lit(low)), F.lit(high)) - F.lit(mean))
+            total = total + F.lit(slope) * (F.least(F.greatest(x[i], F.lit(low)), F.lit(high)) - F.lit(mean))
         if self.rules:
-            text = ", ".join(
-                f"named_struct('w', {w!r}D, 'c', array({', '.join(f'named_struct({chr(39)}i{chr(39)}, {i}, {chr(39)}a{chr(39)}, {str(a).lower()}, {chr(39)}t{chr(39)}, {t!r}D)' for i, a, t in conditions)}))"
-                for w, conditions in self.rules
-            )
-            rules = F.expr(f"array({text})")
-            holds = lambda r: F.forall(r["c"], lambda c: (F.get(stats, c["i"]) > c["t"]) == c["a"])
-            total = total + F.aggregate(rules, F.lit(0.0), lambda acc, r: acc + F.when(holds(r), r["w"]).otherwise(0.0))
+            condition = lambda i, above, t: f"named_struct('i', {i}, 'above', {str(above).lower()}, 't', {t!r}D)"
+            rows = (f"named_struct('w', {w!r}D, 'c', array({', '.join(condition(*c) for c in conditions)}))" for w, conditions in self.rules)
+            holds = lambda r: F.forall(r["c"], lambda c: (F.get(x, c["i"]) > c["t"]) == c["above"])
+            total = total + F.aggregate(F.expr(f"array({', '.join(rows)})"), F.lit(0.0), lambda acc, r: acc + F.when(holds(r), r["w"]).otherwise(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -198,15 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         wanted = wanted.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample_rows / n)))
     # The sample is at most about sample_rows rows of two numbers, so it is broadcast.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")
-    found = np.array([tuple(r) for r in with_statistics(rows).drop("id", "text").collect()], float)
-    if not len(found):
+    found = with_statistics(rows).select("y", _STATS).collect()
+    if not found:
         return Model()
-    return fit_rules(found[:, 1:], found[:, 0])
+    return fit_rules(np.array([r[1] for r in found], float), np.array([r[0] for r in found], float))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "score") -> DataFrame:
     """docs with a score column (0 to 1; higher: quality 1 likelier)."""
-    return with_statistics(docs, text_col).withColumn(score, model.column()).drop(*[f"{_STAT}{i}" for i in range(len(statistics()))])
+    return with_statistics(docs, text_col).withColumn(score, model.column()).drop(_STATS)
 
 
 def op4_quality(spark, sf_dir) -> DataFrame:
