@@ -45,10 +45,10 @@ GRAM = 32
 #: Starts of grams in a window.
 REACH = WINDOW - GRAM + 1
 #: Bytes that are parsed at once; a longer text is parsed in pieces that overlap by WINDOW - 1.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: About so many phrases, and ambiguous entries, to a bucket.
-PHRASES = 400_000
-ENTRIES = 50_000
+PHRASES = 250_000
+ENTRIES = 20_000
 #: A batch sends at most so many entries of one trigger to the trigger's bucket; further ones go by phrase.
 BATCH_ENTRIES = 256
 SALT_ENTRIES = 20_000
@@ -290,28 +290,33 @@ def _shipper(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[int, tuple[list, list[bytes]]] = {}
-            for doc, text, entries in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                for e in entries.as_py():
-                    start, more, off, salts = e["start"], e["more"], e["off"], e["salts"]
-                    phrase = data[start : start + more + WINDOW]
-                    if len(phrase) < WINDOW:  # a repeated id with another text
-                        continue
-                    trigger = int.from_bytes(hashlib.blake2b(phrase[off : off + GRAM], digest_size=7).digest(), "big")
-                    groups = [0] if salts == 1 else sorted({int(h) for h in _window_hashes(phrase) % np.uint64(salts)})
-                    for g in groups:
-                        rows, texts = out.setdefault((trigger + g * 7919) % buckets, ([], []))
-                        rows.append((doc, start, len(phrase), salts, g))
-                        texts.append(phrase)
-            payloads = [np.array(rows, np.int64).tobytes() for rows, _ in out.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(out), pa.int32()), pa.array(payloads, pa.binary()), pa.array([b"".join(t) for _, t in out.values()], pa.binary())], ["bucket", "rows", "bytes"]
-            )
+            for at in range(0, len(b), 1000):
+                yield _shipped(b.slice(at, 1000), buckets)
 
     return run
 
 
+def _shipped(b: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    out: dict[int, tuple[list, list[bytes]]] = {}
+    for doc, text, entries in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+        data = text.as_py().encode("utf-8", "surrogatepass")
+        e = entries.values
+        for start, more, off, salts in zip(*[e.field(k).to_pylist() for k in ("start", "more", "off", "salts")]):
+            phrase = data[start : start + more + WINDOW]
+            if len(phrase) < WINDOW:  # a repeated id with another text
+                continue
+            trigger = int.from_bytes(hashlib.blake2b(phrase[off : off + GRAM], digest_size=7).digest(), "big")
+            groups = [0] if salts == 1 else sorted({int(h) for h in _window_hashes(phrase) % np.uint64(salts)})
+            for g in groups:
+                rows, texts = out.setdefault((trigger + g * 7919) % buckets, ([], []))
+                rows.append((doc, start, len(phrase), salts, g))
+                texts.append(phrase)
+    payloads = [np.array(rows, np.int64).tobytes() for rows, _ in out.values()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(out), pa.int32()), pa.array(payloads, pa.binary()), pa.array([b"".join(t) for _, t in out.values()], pa.binary())], ["bucket", "rows", "bytes"]
+    )
+
+
 def _window_hashes(phrase: bytes) -> np.ndarray:
     return Rolling(np.frombuffer(phrase, np.uint8)).grams(WINDOW)
 
@@ -354,17 +359,22 @@ def _slices(n: int) -> Iterator[tuple[int, int]]:
         yield a, min(n, a + PIECE + WINDOW - 1)
 
 
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, ranges in zip(b.column(1), b.column(2)):
-            kept, removed, spans = remove(text.as_py().encode("utf-8", "surrogatepass"), [] if not ranges.is_valid else ranges.values)
-            out.append((len(kept) + removed, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-        ids = [None if v == LAST else v for v in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), *[pa.array([r[k] for r in out], pa.int64()) for k in range(3)], pa.array([r[3] for r in out], pa.string()), pa.array([r[4] for r in out], pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+def _remover(keep: bool):
+    """(doc_id, text, ranges) to the result rows; keep: with the remaining bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, ranges in zip(b.column(1), b.column(2)):
+                kept, removed, spans = remove(text.as_py().encode("utf-8", "surrogatepass"), ranges.values if ranges.is_valid else [])
+                out.append((len(kept) + removed, removed, spans, hashlib.sha256(kept).hexdigest(), kept if keep else None))
+            ids = [None if v == LAST else v for v in b.column(0).to_pylist()]
+            numbers = [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
+            rest = [pa.array([r[4] for r in out], pa.binary())] if keep else []
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array([r[3] for r in out], pa.string()), *rest], names[: 5 + keep])
+
+    return run
 
 
 def remove(data: bytes, ranges) -> tuple[bytes, int, int]:
@@ -382,8 +392,8 @@ def remove(data: bytes, ranges) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) for every row."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes) for every row."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), text_of(text_col).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(1, round(size * 2 / (REACH + 1) / PHRASES))
@@ -397,9 +407,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = found.where("salts = 0").select("doc_id", "start", "more").unionByName(hidden.select("doc_id", "start", "more"))
     ranges = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "more")).alias("ranges"))
     return source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
-        _remover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _remover(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
     )
 
 
 def op3_substrings(spark, sf_dir) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return deduplicated(table(spark, sf_dir, "documents"), keep=False)
