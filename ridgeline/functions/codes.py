@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 US, RS, GS, FS = 0x1F, 0x1E, 0x1D, 0x1C
 
 RECORD_TYPES = {
-    1: "Transaction information", 2: "User-defined descriptive text", 3: "Low-resolution grayscale fingerprint image", 4: "High-resolution grayscale fingerprint image",
-    5: "Low-resolution binary fingerprint image", 6: "High-resolution binary fingerprint image", 7: "User-defined image", 8: "Signature image", 9: "Minutiae data",
-    10: "Facial, other body part, or SMT image", 11: "Forensic and investigatory voice data", 12: "Forensic dental and oral data", 13: "Friction-ridge latent image",
-    14: "Fingerprint image", 15: "Palm print image", 16: "User-defined testing image", 17: "Iris image", 99: "CBEFF biometric data record",
-}
+    1: "Type-1: Transaction Information",
+    2: "Type-2: User-defined Descriptive Text",
+    3: "Type-3: Low-resolution Grayscale Fingerprint",
+    4: "Type-4: High-resolution Grayscale Fingerprint",
+    5: "Type-5: Low-resolution Binary Fingerprint",
+    6: "Type-6: High-resolution Binary Fingerprint",
+    7: "Type-7: User-defined Image",
+    8: "Type-8: Signature Image",
+    9: "Type-9: Minutiae Data",
+    10: "Type-10: Facial & SMT Image",
+    11: "Type-11: Forensic & Investigatory Voice",
+    12: "Type-12: Forensic Dental & Oral Care Data",
+    13: "Type-13: Variable-resolution Latent Image",
+    14: "Type-14: Variable-resolution Fingerprint",
+    15: "Type-15: Palm Print Image",
+    16: "Type-16: User-defined Test Image",
+    17: "Type-17: Iris Image",
+    99: "Type-99: CBEFF (Biometric Data Block)",
+}
 
 _VARIABLE = "1 LEN, 2 IDC, 3 IMP, 4 SRC, 5 FCD, 6 HLL, 7 VLL, 8 SLC, 9 HPS, 10 VPS, 11 CGA, 12 BPX, 13 FGP, 999 DATA"
 _TESTING = "1 LEN, 2 IDC, 6 HLL, 7 VLL, 8 SLC, 9 HPS, 10 VPS, 11 CGA, 12 BPX, 13 CSP, 999 DATA"
@@ -92,7 +106,7 @@ def gca_name(byte: Column, data: Column, raw_size: Column) -> Column:
 
 def signature_compression(srt: Column, data: Column, width: Column, height: Column) -> Column:
     """Compression of a Type-8 payload."""
-    exact = (srt == 0) & (F.octet_length(data) == F.expr("0") + F.floor((width + 7) / 8) * height)
+    exact = (srt == 0) & (F.octet_length(data) == F.floor((width + 7) / 8) * height)
     return F.when(exact, "NONE").otherwise(F.coalesce(sniff_compression(data), F.lit("NONE")))
 
 

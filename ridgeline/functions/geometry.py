@@ -18,7 +18,7 @@ def record_length(rest: Column) -> Column:
 
 def row_bytes(width: Column, bits: Column) -> Column:
     """Bytes of a row of pixels: packed for 1 bit, else whole bytes a sample (8 gray, 24 colour)."""
-    return F.when(bits == 1, F.expr("0") + F.floor((width + 7) / 8)).otherwise(width * F.floor(bits / 8)).cast("long")
+    return F.when(bits == 1, F.floor((width + 7) / 8)).otherwise(width * F.floor(bits / 8)).cast("long")
 
 
 def raw_size(width: Column, height: Column, bits: Column) -> Column:
