@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ridgeline.llm.common import cut, table
 
@@ -182,6 +183,159 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- near copies at a similarity of 0.8 -----------------------------------------------------------------
+#
+# One 64-bit fingerprint of shingles moves by about eight bits when a document's five-word shingles agree to
+# 0.8, too far for tables that keep enough bits. A wide fingerprint over distinct words moves less: such
+# documents differ in about 6 % of its bits and other documents in a quarter and more. Its blocks of 64 bits
+# each have covering tables, so every pair with at most BLOCKS * (RADIUS + 1) - 1 differing bits collides
+# (some block has RADIUS or fewer), and most pairs beyond that. Links are decided on all bits.
+
+# Chains of links can join documents that are less alike, so candidate components are then searched again
+# with sketches of the five-word shingles (one-permutation MinHash), and only links of 0.8 stay.
+
+BLOCKS = 6
+#: Most differing bits of all BLOCKS * 64 for a candidate link, about 11 %.
+MOST_BITS = 42
+COPY_WORDS = 5
+#: Bins of a sketch (a power of two), and the least share of bins that agree: 0.8 less two standard errors.
+BINS = 512
+LEAST_SHARE = 0.76
+_WIDE = [f"w{i}" for i in range(BLOCKS)]
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(1, BLOCKS + 1)], "u8")
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def copy_prints(text: str | None) -> tuple[np.ndarray, bytes]:
+    """(wide fingerprint over distinct words, sketch of the five-word shingles) of a text; zeros without a word."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(BLOCKS, "u8"), bytes(BINS)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
+    distinct, counts = np.unique(h), np.zeros((BLOCKS, 64), np.int64)
+    for at in range(0, len(distinct), CHUNK):
+        part = _mix(distinct[None, at : at + CHUNK] ^ _SEEDS[:, None]).astype("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(BLOCKS, -1, 8), axis=2, bitorder="little")
+        counts += bits.sum(axis=1, dtype=np.int64)
+    wide = np.packbits(counts * 2 > len(distinct), axis=1, bitorder="little").view("<u8").ravel()
+    k = min(COPY_WORDS, len(h))
+    shingles = np.zeros(len(h) - k + 1, "u8")
+    for j in range(k):
+        shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
+    shingles = np.sort(_mix(shingles))
+    bins, first = np.unique(shingles >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    sketch = np.zeros(BINS, np.uint8)
+    sketch[bins.astype(np.int64)] = (shingles[first] >> np.uint64(32)).astype(np.uint8) | 1  # 0: no shingle in the bin
+    return wide, sketch.tobytes()
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [copy_prints(t.as_py()) for t in b.column(1)]
+        found = np.array([m[0] for m in made], "u8").reshape(-1, BLOCKS).view("i8")
+        columns = [pa.array(np.ascontiguousarray(found[:, i])) for i in range(BLOCKS)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array([m[1] for m in made], pa.binary())], ["doc_id", *_WIDE, "sketch"])
+
+
+def _bits_alike(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(rest ^ x).sum(axis=1) <= MOST_BITS
+
+
+def _sketch_alike(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    same = ((rest == x) & (rest > 0)).sum(axis=1)
+    used = ((rest > 0) | (x > 0)).sum(axis=1)
+    return same >= LEAST_SHARE * np.maximum(used, 1e-9)
+
+
+def forest(ids: np.ndarray, rows: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest over rows that alike(row, rows) links, as spanning() does it for bits."""
+    ids, first = np.unique(ids, return_index=True)
+    rows, nodes, roots = rows[first], [], []
+    while len(ids) > 1:
+        frontier, root, ids, rows = [rows[:1]], ids[0], ids[1:], rows[1:]
+        while frontier and len(ids):
+            near = np.zeros(len(ids), bool)
+            for x in frontier.pop():
+                left = np.flatnonzero(~near)
+                near[left[alike(x, rows[left])]] = True
+                if near.all():
+                    break
+            if near.any():
+                nodes.append(ids[near])
+                roots.append(np.full(int(near.sum()), root))
+                frontier.append(rows[near])
+                ids, rows = ids[~near], rows[~near]
+    if not nodes:
+        return np.empty(0, "i8"), np.empty(0, "i8")
+    return np.concatenate(nodes), np.concatenate(roots)
+
+
+def _group_forests(read, alike):
+    """Rows of grouped members to forest edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(np.empty(0, "i8"), np.empty(0, "i8"))]
+            for group in b.column(0):
+                members = group.values
+                found.append(forest(members.field("node").to_numpy(zero_copy_only=False), read(members), alike))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _wide_rows(members) -> np.ndarray:
+    return np.column_stack([members.field(w).to_numpy(zero_copy_only=False) for w in _WIDE]).view("u8")
+
+
+def _sketch_rows(members) -> np.ndarray:
+    return np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _dealt(members: DataFrame, key: str, columns: list[str], limit: int) -> DataFrame:
+    """Members (key, node, n = size of the key's group, columns) as lists: a group up to the limit whole, a larger one as all pairs of its blocks."""
+    parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("p", F.explode(pairs))
+    return dealt.groupBy(key, "p").agg(F.collect_list(F.struct("node", *columns)).alias("members")).select("members")
+
+
+def wide_links(nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Candidate edges (a, b) between nodes (node, w0, ...). Only (bucket, node) rows are dealt; words join the few that share a bucket."""
+    keys = [F.xxhash64(F.lit(b * 64 + n), F.col(w).bitwiseAND(F.lit(_signed(m)))) for b, w in enumerate(_WIDE) for n, m in enumerate(masks())]
+    rows = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    shared = cut(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "simhash-shared")
+    groups = _dealt(shared.join(nodes, "node"), "bucket", _WIDE, limit)
+    return groups.mapInArrow(_group_forests(_wide_rows, _bits_alike), "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_LIMIT) -> DataFrame:
+    """doc_id, component_id for every row: documents whose five-word shingles agree to 0.8 or more share a component."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    made = made.mapInArrow(_prints, f"doc_id {kind}, " + ", ".join(f"{w} long" for w in _WIDE) + ", sketch binary")
+    prints = cut(made.withColumn("node", F.xxhash64(*_WIDE, "sketch")), "simhash-prints")
+    same = [F.min(w).alias(w) for w in _WIDE]  # equal for all rows of a node
+    nodes = cut(prints.groupBy("node").agg(*same, F.min("doc_id").alias("least")), "simhash-nodes")
+    candidates = cut(components(wide_links(nodes.select("node", *_WIDE), limit)), "simhash-candidates")
+    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    least = nodes.select("node", "least").join(candidates, "node")
+    sketches = prints.select("node", "doc_id", "sketch").join(least, "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    members = sketches.join(sizes, "root").select("root", "node", "n", "sketch")
+    links_ = _dealt(members, "root", ["sketch"], limit >> 3).mapInArrow(_group_forests(_sketch_rows, _sketch_alike), "a long, b long")
+    roots = cut(components(links_.distinct()), "simhash-roots")
+    of_root = nodes.select("node", "least").join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.join(of_root, "root").select("node", "component_id")
+    ids = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+
+
 def op9_simhash(spark, sf_dir) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
