@@ -143,6 +143,38 @@ def _state(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
 
 
+#: Edges that one task contracts to a forest.
+CONTRACT = 200_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to a star forest with the same components, in pieces of bounded size."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
+        if sum(len(a) for a, _ in held) >= 4 * CONTRACT:
+            held = [_stars(held)]
+    if held:
+        a, c = _stars(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+
+
+def _stars(edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate([e[k] for e in edges]) for k in (0, 1))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        least, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(ids))
+    return ids[own], ids[label[own]]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for every node of an edge, by large-star and small-star rounds.
 
@@ -151,6 +183,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     joined back to its edges.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
+    # A node of a dense group has an edge from each bucket; first each task leaves a forest of its share.
+    parts = max(1, -(-_state(now)[0] // CONTRACT))
+    now = cut(now.coalesce(parts).mapInArrow(_contract, "a long, b long").distinct(), "cc-forest")
     before = _state(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
