@@ -57,9 +57,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 @lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
-    base, inverse = _ODD, pow(_ODD, -1, 1 << 64)
-    grow = lambda b: np.multiply.accumulate(np.concatenate(([1], np.full(n - 1, b, "u8"))).astype("u8"))
-    return grow(base), grow(inverse)
+    out = []
+    for b in (_ODD, pow(_ODD, -1, 1 << 64)):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def words_of(text: str) -> list[str]:
@@ -97,7 +100,7 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(n, "u8")
     for j in range(WORDS):
         part = np.zeros(n, "u8")
-        part[: n - j] = word[j:]
+        part[: max(0, n - j)] = word[j:]
         rolled = rolled * np.uint64(0xFF51AFD7ED558CCD) + part
     place = np.arange(n) - first[text]
     full = place <= count[text] - WORDS

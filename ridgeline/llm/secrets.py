@@ -110,9 +110,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "
     after = scanned.join(spans, ["blob", "kind"], "left").select("blob", "kind", "version", F.coalesce("spans", empty).alias("spans"))
     if ledger is not None:
         after = ledger.select("blob", "kind", "version", "spans").unionByName(after)
-        current = F.array(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules])
         ranks = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (r.kind, n)])
-        known = ledger.where(F.array_contains(current, F.struct("kind", "version"))).withColumn("s", F.explode("spans"))
+        known = ledger.where(F.try_element_at(versions_of, F.col("kind")) == F.col("version")).withColumn("s", F.explode("spans"))
         fresh = fresh.select("blob", "start", "rank", "end", "kind").unionByName(
             known.select("blob", F.col("s.start").alias("start"), F.element_at(ranks, F.col("kind")).alias("rank"), F.col("s.end").alias("end"), "kind")
         )
