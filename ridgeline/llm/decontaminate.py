@@ -38,7 +38,7 @@ CONTAINMENT = 0.8
 BLOCK_ITEMS = 50_000
 BLOCK_BYTES = 16 << 20
 #: Documents are hashed in groups of about so many bytes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: A longer text is hashed in pieces of so many words that overlap by four.
 PIECE_WORDS = 100_000
 
@@ -54,7 +54,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     out = []

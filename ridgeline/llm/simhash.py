@@ -343,8 +343,10 @@ def _dealt(members: DataFrame, key: str, columns: list[str], limit: int) -> Data
 
 def wide_links(nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Candidate edges (a, b) between nodes (node, w0, ...). Only (bucket, node) rows are dealt; words join the few that share a bucket."""
-    keys = [F.xxhash64(F.lit(b * 64 + n), F.col(w).bitwiseAND(F.lit(_signed(m)))) for b, w in enumerate(_WIDE) for n, m in enumerate(masks())]
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    # A function over the constant masks, not an expression for each table: generated code of that size takes hundreds of MB to compile.
+    tables = F.array(*[F.lit(_signed(m)).cast("long") for m in masks()])
+    in_block = lambda b, w: F.transform(tables, lambda m, n: F.xxhash64(n + F.lit(64 * b), F.col(w).bitwiseAND(m)))
+    rows = nodes.select("node", F.explode(F.flatten(F.array(*[in_block(b, w) for b, w in enumerate(_WIDE)]))).alias("bucket"))
     shared = cut(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "simhash-shared")
     groups = _dealt(shared.join(nodes, "node"), "bucket", _WIDE, limit)
     return groups.mapInArrow(_group_forests(_wide_rows, _bits_alike), "a long, b long").distinct()
