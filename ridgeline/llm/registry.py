@@ -17,6 +17,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
-    "op6_warc": warc.op6_warc,
     "op7_mix_sources": mixing.ORACLE,
 }

@@ -26,6 +26,7 @@ def test_registry_and_pipeline_agree_with_the_entry():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][-1] == "mixing"
+    assert set(entry.oracle_sql()) <= names and all(isinstance(sql, str) for sql in entry.oracle_sql().values())
 
 
 # ---- mixing
