@@ -19,7 +19,8 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -177,41 +178,85 @@ def _may_be(kind: str, s: str, first: str, last: str) -> bool:
     return first[0] in "+(0123456789" and 7 <= n <= 15
 
 
+def _starting(text: str, tokens: Sequence[tuple[int, int]], i: int) -> Iterator[tuple[int, int, list[str]]]:
+    """The entity segments that start at token i: (end token, type, features). None crosses a line break."""
+    a, b = tokens[i]
+    first = text[a:b]
+    if not (first[0].isalnum() or first[0] in "+("):
+        return
+    for k, kind in enumerate(KINDS):
+        if kind != "email" and first[0].isalpha():
+            continue
+        for j in range(i, min(len(tokens), i + MOST_TOKENS[kind])):
+            x, y = tokens[j]
+            if text[x] == "\n":
+                break
+            if _may_be(kind, text[a:y], first, text[x:y]):
+                yield j + 1, k, _span_features(text, a, y, kind)
+
+
 def lattice(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, int, list[str]]]]]:
     """Tokens, and for each end position the segments (start token, type or -1, features) that end there."""
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     ending: list[list[tuple[int, int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
     for j, (a, b) in enumerate(tokens):
         ending[j + 1].append((j, -1, _token_features(text[a:b])))
-    for i, (a, b) in enumerate(tokens):
-        first = text[a:b]
-        if not (first[0].isalnum() or first[0] in "+("):
-            continue
-        for k, kind in enumerate(KINDS):
-            if kind != "email" and first[0].isalpha():
-                continue
-            for j in range(i, min(len(tokens), i + MOST_TOKENS[kind])):
-                x, y = tokens[j]
-                if text[x] == "\n":
-                    break
-                if _may_be(kind, text[a:y], first, text[x:y]):
-                    ending[j + 1].append((i, k, _span_features(text, a, y, kind)))
+    for i in range(len(tokens)):
+        for j, k, feats in _starting(text, tokens, i):
+            ending[j].append((i, k, feats))
     return tokens, ending
 
 
 def viterbi(text: str, weights: dict[str, float]) -> list[tuple[int, int, int]]:
-    """(index of the kind, start, end) of the entities in the best segmentation of a region."""
-    tokens, ending = lattice(text)
-    best, back = [0.0], [None]
-    for j in range(1, len(tokens) + 1):
-        score, step = max(((best[i] + sum(weights.get(f, 0.0) for f in feats), (i, k)) for i, k, feats in ending[j]), key=lambda c: (c[0], c[1]))
-        best.append(score)
-        back.append(step)
-    out, j = [], len(tokens)
-    while j:
-        i, k = back[j]
+    """(index of the kind, start, end) of the entities in the best segmentation of a region.
+
+    Scores are pushed from each start and no lattice is kept. Where no candidate spans a border, all
+    segmentations meet; the steps before it are settled and dropped there, so what a region holds besides its
+    tokens does not grow with its length.
+    """
+    tokens = array("q")
+    for m in _TOKEN.finditer(text):
+        tokens.append(m.start())
+    tokens.append(len(text))
+    n, out, done, reach = len(tokens) - 1, [], 0, 0
+    spans_ = _Window(tokens, n)
+    best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}
+    for i in range(n):
+        if i >= reach and i > done:
+            out += _settled(best, done, i, tokens)
+            best, done = {i: best[i]}, i
+        here = best[i][0]
+        moves = [(i + 1, -1, _token_features(text[tokens[i] : tokens[i + 1]]))]
+        moves += _starting(text, spans_, i)
+        for j, k, feats in moves:
+            step = (here + sum(weights.get(f, 0.0) for f in feats), i, k)
+            if j not in best or step > best[j]:
+                best[j] = step
+            if k >= 0:
+                reach = max(reach, j)
+    return out + _settled(best, done, n, tokens)
+
+
+class _Window:
+    """Token spans over the array of token starts: every character is in a token, so each ends where the next starts."""
+
+    def __init__(self, starts: array, n: int):
+        self.starts, self.n = starts, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return self.starts[i], self.starts[i + 1]
+
+
+def _settled(best: dict[int, tuple[float, int, int]], low: int, high: int, starts: array) -> list[tuple[int, int, int]]:
+    """The entities of the best path between two borders that every path passes."""
+    out, j = [], high
+    while j > low:
+        _, i, k = best[j]
         if k >= 0:
-            out.append((k, tokens[i][0], tokens[j - 1][1]))
+            out.append((k, starts[i], starts[j]))
         j = i
     return out[::-1]
 

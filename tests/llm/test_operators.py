@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -257,6 +258,18 @@ def test_viterbi_is_the_best_of_all_segmentations():
         assert abs(score - best(len(tokens), ending)) < 1e-9
 
 
+def test_long_regions_take_bounded_memory():
+    model, line = pii.weights(), "tel (030) 123-4567, 10.1.2.3 and 4 5 6 7 8\n"
+    one = pii.viterbi(line * 3, model)
+    own = [x for x in one if len(line) <= x[1] < 2 * len(line)]
+    tracemalloc.start()
+    found = pii.viterbi(line * 2000, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own and {(k, a + 999 * len(line), b + 999 * len(line)) for k, a, b in own} == {x for x in found if 1000 * len(line) <= x[1] < 1001 * len(line)}
+    assert len(found) >= 2000 * len(own) - 2 and peak < 4_000_000
+
+
 def test_found_and_redacted(spark):
     docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(PII)], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in pii.found(docs).collect()}
