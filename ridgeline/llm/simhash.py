@@ -221,23 +221,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---- near copies at a similarity of 0.8 -----------------------------------------------------------------
 #
 # One 64-bit fingerprint of shingles moves by about eight bits when a document's five-word shingles agree to
-# 0.8, too far for tables that keep enough bits. A wide fingerprint over distinct words moves less: such
-# documents differ in about 6 % of its bits and other documents in a quarter and more. Its blocks of 64 bits
-# each have covering tables, so every pair with at most BLOCKS * (RADIUS + 1) - 1 differing bits collides
-# (some block has RADIUS or fewer), and most pairs beyond that. Links are decided on all bits.
+# 0.8, too far for tables that keep enough bits. Candidates come from the shingles themselves: all shingles
+# have one order, rarest first, and two sets of m shingles that agree to 0.8 share one of the first
+# m - ceil(0.8 m) + 1 of each (prefix filter). So every such pair meets in a bucket, whatever the edit was.
+# The order is by counts in a sample, then by hash; any order finds all pairs, a good one keeps buckets small.
+#
+# In a bucket two bounds pass over pairs that cannot agree to 0.8: sizes, and bitmaps of parity, which differ
+# in no more bits than the sets differ in shingles. Neither loses a pair.
 
 # Chains of links can join documents that are less alike, so candidate components are then searched again
 # with sketches of the five-word shingles (one-permutation MinHash), and only links of 0.8 stay.
 
-BLOCKS = 6
-#: Most differing bits of all BLOCKS * 64 for a candidate link, about 11 %.
-MOST_BITS = 42
 COPY_WORDS = 5
+#: Bits of a bitmap (a power of two).
+MAP_BITS = 1024
+#: Documents whose shingles are counted for the order, and most shingles that count as common.
+ORDER_SAMPLE = 8_000
+MOST_COMMON = 1 << 18
 #: Bins of a sketch (a power of two), and the least share of bins that agree: 0.8 less two standard errors.
 BINS = 512
 LEAST_SHARE = 0.76
-_WIDE = [f"w{i}" for i in range(BLOCKS)]
-_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(1, BLOCKS + 1)], "u8")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -246,39 +249,82 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def copy_prints(text: str | None) -> tuple[np.ndarray, bytes]:
-    """(wide fingerprint over distinct words, sketch of the five-word shingles) of a text; zeros without a word."""
+def copy_shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, ascending; none without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(BLOCKS, "u8"), bytes(BINS)
+        return np.empty(0, "u8")
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
-    distinct, counts = np.unique(h), np.zeros((BLOCKS, 64), np.int64)
-    for at in range(0, len(distinct), CHUNK):
-        part = _mix(distinct[None, at : at + CHUNK] ^ _SEEDS[:, None]).astype("<u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(BLOCKS, -1, 8), axis=2, bitorder="little")
-        counts += bits.sum(axis=1, dtype=np.int64)
-    wide = np.packbits(counts * 2 > len(distinct), axis=1, bitorder="little").view("<u8").ravel()
     k = min(COPY_WORDS, len(h))
-    shingles = np.zeros(len(h) - k + 1, "u8")
+    shingles = np.full(len(h) - k + 1, k, "u8")
     for j in range(k):
         shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-    shingles = np.sort(_mix(shingles))
+    return np.unique(_mix(shingles))
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of which two sets that agree to 0.8 share one: the first m - ceil(0.8 m) + 1, rare ones before common ones."""
+    known, counts = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[: len(shingles) - (4 * len(shingles) + 4) // 5 + 1]]
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """A bitmap of the parity of how many shingles fall on each bit."""
+    at = (shingles >> np.uint64(20)).astype(np.int64) & (MAP_BITS - 1)
+    return np.packbits((np.bincount(at, minlength=MAP_BITS) & 1).astype(bool)).tobytes()
+
+
+def sketch(shingles: np.ndarray) -> bytes:
     bins, first = np.unique(shingles >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
-    sketch = np.zeros(BINS, np.uint8)
-    sketch[bins.astype(np.int64)] = (shingles[first] >> np.uint64(32)).astype(np.uint8) | 1  # 0: no shingle in the bin
-    return wide, sketch.tobytes()
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = (shingles[first] >> np.uint64(32)).astype(np.uint8) | 1  # 0: no shingle in the bin
+    return out.tobytes()
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [copy_prints(t.as_py()) for t in b.column(1)]
-        found = np.array([m[0] for m in made], "u8").reshape(-1, BLOCKS).view("i8")
-        columns = [pa.array(np.ascontiguousarray(found[:, i])) for i in range(BLOCKS)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array([m[1] for m in made], pa.binary())], ["doc_id", *_WIDE, "sketch"])
+        for t in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(copy_shingles(t.as_py()).view("i8"))], ["h"])
+
+
+def common_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of shingles that several documents of a sample share. They set an order and nothing else."""
+    share = min(1.0, ORDER_SAMPLE / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(F.col(text_col))
+    counted = some.mapInArrow(_count_shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    known, counts = np.array([r[0] for r in rows], "i8").view("u8"), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def _printer(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [copy_shingles(t.as_py()) for t in b.column(1)]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "u8").view("i8")
+            first = [prefix(s, shared.value).view("i8") for s in sets]
+            columns = [
+                b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
+                pa.array([parity(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "m", "first", "bits", "sketch"])
+
+    return run
 
 
-def _bits_alike(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(rest ^ x).sum(axis=1) <= MOST_BITS
+def _may_agree(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """False only where two sets cannot agree to 0.8. Rows: a bitmap's words, then the size of the set."""
+    a, b = np.int64(x[-1]), rest[:, -1].astype(np.int64)
+    possible = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)).copy()
+    at = np.flatnonzero(possible)
+    differ = np.bitwise_count(rest[at, :-1] ^ x[:-1]).sum(axis=1, dtype=np.int64)
+    possible[at] = 9 * differ <= a + b[at]
+    return possible
 
 
 def _sketch_alike(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -324,8 +370,9 @@ def _group_forests(read, alike):
     return run
 
 
-def _wide_rows(members) -> np.ndarray:
-    return np.column_stack([members.field(w).to_numpy(zero_copy_only=False) for w in _WIDE]).view("u8")
+def _bitmap_rows(members) -> np.ndarray:
+    bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), "u8").reshape(-1, MAP_BITS // 64)
+    return np.column_stack((bits, members.field("m").to_numpy(zero_copy_only=False).view("u8")))
 
 
 def _sketch_rows(members) -> np.ndarray:
@@ -341,26 +388,28 @@ def _dealt(members: DataFrame, key: str, columns: list[str], limit: int) -> Data
     return dealt.groupBy(key, "p").agg(F.collect_list(F.struct("node", *columns)).alias("members")).select("members")
 
 
-def wide_links(nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Candidate edges (a, b) between nodes (node, w0, ...). Only (bucket, node) rows are dealt; words join the few that share a bucket."""
-    # A function over the constant masks, not an expression for each table: generated code of that size takes hundreds of MB to compile.
-    tables = F.array(*[F.lit(_signed(m)).cast("long") for m in masks()])
-    in_block = lambda b, w: F.transform(tables, lambda m, n: F.xxhash64(n + F.lit(64 * b), F.col(w).bitwiseAND(m)))
-    rows = nodes.select("node", F.explode(F.flatten(F.array(*[in_block(b, w) for b, w in enumerate(_WIDE)]))).alias("bucket"))
-    shared = cut(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "simhash-shared")
-    groups = _dealt(shared.join(nodes, "node"), "bucket", _WIDE, limit)
-    return groups.mapInArrow(_group_forests(_wide_rows, _bits_alike), "a long, b long").distinct()
+def prefix_links(nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Candidate edges (a, b) between nodes (node, m, first, bits). Only (bucket, node) rows are dealt; bitmaps join the few that share a bucket."""
+    rows = nodes.select("node", F.explode("first").alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    # Copies share many shingles: of the buckets with the same members one is enough.
+    counts = cut(counts.where("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("bucket").alias("bucket")), "simhash-buckets")
+    pairs = counts.where("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    shared = cut(rows.join(counts.where("n > 2").select("bucket", "n"), "bucket"), "simhash-shared")
+    groups = _dealt(shared.join(nodes.select("node", "m", "bits"), "node"), "bucket", ["m", "bits"], limit)
+    return pairs.unionByName(groups.mapInArrow(_group_forests(_bitmap_rows, _may_agree), "a long, b long")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, component_id for every row: documents whose five-word shingles agree to 0.8 or more share a component."""
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = made.mapInArrow(_prints, f"doc_id {kind}, " + ", ".join(f"{w} long" for w in _WIDE) + ", sketch binary")
-    prints = cut(made.withColumn("node", F.xxhash64(*_WIDE, "sketch")), "simhash-prints")
-    same = [F.min(w).alias(w) for w in _WIDE]  # equal for all rows of a node
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(made))
+    made = made.mapInArrow(_printer(common), f"doc_id {kind}, node long, m long, first array<long>, bits binary, sketch binary")
+    prints = cut(made, "simhash-prints")
+    same = [F.first(c).alias(c) for c in ("m", "first", "bits")]  # equal for all rows of a node
     nodes = cut(prints.groupBy("node").agg(*same, F.min("doc_id").alias("least")), "simhash-nodes")
-    candidates = cut(components(wide_links(nodes.select("node", *_WIDE), limit)), "simhash-candidates")
+    candidates = cut(components(prefix_links(nodes, limit)), "simhash-candidates")
     sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     least = nodes.select("node", "least").join(candidates, "node")
     sketches = prints.select("node", "doc_id", "sketch").join(least, "node").where(F.col("doc_id").eqNullSafe(F.col("least")))

@@ -116,6 +116,36 @@ def test_near_copies_finds_similar_documents_only(spark, limit):
     assert found[100] == found[101]
 
 
+def edited_pairs(rng):
+    """Pairs of texts whose five-word similarity is 0.8 or more, by kind of edit."""
+    for _ in range(12):
+        words = prose(rng, 400).split()
+        at = rng.randrange(360)
+        yield "appended", words[:100], words[:100] + prose(rng, 20).split()
+        yield "cut off", words, words[:330]
+        yield "replaced", words, words[:at] + prose(rng, 36).split() + words[at + 36 :]
+        yield "ten words", words[:10], words[:11]
+        yield "long", words * 3 + prose(rng, 3000).split(), None
+
+
+def copies_of(rng):
+    for kind, a, b in edited_pairs(rng):
+        b = a[:-500] if b is None else b
+        yield kind, " ".join(a), " ".join(b)
+
+
+@pytest.mark.parametrize("limit", [1 << 14, 8])
+def test_near_copies_finds_every_kind_of_edit(spark, limit):
+    pairs = list(copies_of(random.Random(6)))
+    texts = [t for _, a, b in pairs for t in (a, b)]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts), limit=limit).collect()}
+    shingles = [decontaminate.shingle_texts(t) for t in texts]
+    for k, (kind, _, _) in enumerate(pairs):
+        a, b = shingles[2 * k], shingles[2 * k + 1]
+        assert len(a & b) >= 0.8 * len(a | b), kind
+        assert found[2 * k] == found[2 * k + 1], kind
+
+
 def test_containment_search_matches_brute_force(spark):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (3, 5, 8, 20, 40, 60, 0)] + [None]
