@@ -229,8 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # In a bucket two bounds pass over pairs that cannot agree to 0.8: sizes, and bitmaps of parity, which differ
 # in no more bits than the sets differ in shingles. Neither loses a pair.
 
-# Chains of links can join documents that are less alike, so candidate components are then searched again
-# with sketches of the five-word shingles (one-permutation MinHash), and only links of 0.8 stay.
+# Candidate links only bound the search: their components are searched again with the sets of shingles
+# themselves, and only links of 0.8 by count stay. Sets are of 48-bit hashes.
 
 COPY_WORDS = 5
 #: Bits of a bitmap (a power of two).
@@ -238,9 +238,8 @@ MAP_BITS = 1024
 #: Documents whose shingles are counted for the order, and most shingles that count as common.
 ORDER_SAMPLE = 8_000
 MOST_COMMON = 1 << 18
-#: Bins of a sketch (a power of two), and the least share of bins that agree: 0.8 less two standard errors.
-BINS = 512
-LEAST_SHARE = 0.76
+#: Shingles of one block of a component, for each row of a block of a bucket.
+BLOCK_SHINGLES = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -259,7 +258,7 @@ def copy_shingles(text: str | None) -> np.ndarray:
     shingles = np.full(len(h) - k + 1, k, "u8")
     for j in range(k):
         shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-    return np.unique(_mix(shingles))
+    return np.unique(_mix(shingles) >> np.uint64(16))
 
 
 def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -278,11 +277,14 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=MAP_BITS) & 1).astype(bool)).tobytes()
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    bins, first = np.unique(shingles >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
-    out = np.zeros(BINS, np.uint8)
-    out[bins.astype(np.int64)] = (shingles[first] >> np.uint64(32)).astype(np.uint8) | 1  # 0: no shingle in the bin
-    return out.tobytes()
+def _packed(shingles: np.ndarray) -> bytes:
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,9 +312,9 @@ def _printer(shared):
             first = [prefix(s, shared.value).view("i8") for s in sets]
             columns = [
                 b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
-                pa.array([parity(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
+                pa.array([parity(s) for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "m", "first", "bits", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "m", "first", "bits", "shingles"])
 
     return run
 
@@ -327,10 +329,17 @@ def _may_agree(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return possible
 
 
-def _sketch_alike(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    same = ((rest == x) & (rest > 0)).sum(axis=1)
-    used = ((rest > 0) | (x > 0)).sum(axis=1)
-    return same >= LEAST_SHARE * np.maximum(used, 1e-9)
+def _agree(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Whether sets of shingles agree with x to 0.8 or more, by count."""
+    sizes = np.fromiter(map(len, rest), np.int64, len(rest))
+    out = 5 * np.minimum(sizes, len(x)) >= 4 * np.maximum(sizes, len(x))
+    at = np.flatnonzero(out)
+    if len(at):
+        flat = np.concatenate(rest[at])
+        same = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        both = np.add.reduceat(same.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
+        out[at] = 9 * both >= 4 * (sizes[at] + len(x))
+    return out
 
 
 def forest(ids: np.ndarray, rows: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
@@ -375,8 +384,11 @@ def _bitmap_rows(members) -> np.ndarray:
     return np.column_stack((bits, members.field("m").to_numpy(zero_copy_only=False).view("u8")))
 
 
-def _sketch_rows(members) -> np.ndarray:
-    return np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+def _set_rows(members) -> np.ndarray:
+    out = np.empty(len(members), object)
+    for k, x in enumerate(members.field("shingles")):
+        out[k] = _unpacked(x.as_buffer())
+    return out
 
 
 def _dealt(members: DataFrame, key: str, columns: list[str], limit: int) -> DataFrame:
@@ -405,16 +417,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(made))
-    made = made.mapInArrow(_printer(common), f"doc_id {kind}, node long, m long, first array<long>, bits binary, sketch binary")
+    made = made.mapInArrow(_printer(common), f"doc_id {kind}, node long, m long, first array<long>, bits binary, shingles binary")
     prints = cut(made, "simhash-prints")
     same = [F.first(c).alias(c) for c in ("m", "first", "bits")]  # equal for all rows of a node
     nodes = cut(prints.groupBy("node").agg(*same, F.min("doc_id").alias("least")), "simhash-nodes")
     candidates = cut(components(prefix_links(nodes, limit)), "simhash-candidates")
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    least = nodes.select("node", "least").join(candidates, "node")
-    sketches = prints.select("node", "doc_id", "sketch").join(least, "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    members = sketches.join(sizes, "root").select("root", "node", "n", "sketch")
-    links_ = _dealt(members, "root", ["sketch"], limit >> 3).mapInArrow(_group_forests(_sketch_rows, _sketch_alike), "a long, b long")
+    placed = nodes.select("node", "m").join(candidates, "node")
+    sizes = placed.groupBy("root").agg(F.sum("m").alias("n"))
+    sets = prints.select("node", "shingles").join(candidates, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"))
+    links_ = _dealt(sets.join(sizes, "root"), "root", ["shingles"], limit * BLOCK_SHINGLES).mapInArrow(_group_forests(_set_rows, _agree), "a long, b long")
     roots = cut(components(links_.distinct()), "simhash-roots")
     of_root = nodes.select("node", "least").join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(of_root, "root").select("node", "component_id")

@@ -146,6 +146,24 @@ def test_near_copies_finds_every_kind_of_edit(spark, limit):
         assert found[2 * k] == found[2 * k + 1], kind
 
 
+@pytest.mark.parametrize("limit", [1 << 14, 4])
+def test_near_copies_are_the_components_of_exact_links(spark, limit):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(80):  # around the threshold
+        words = prose(rng, 204).split()
+        edits = rng.choice([4, 5, 24, 25])
+        at = range(5, 205, 200 // edits) if edits < 6 else range(100, 100 + edits - 4)
+        texts += [" ".join(words), " ".join("new" if i in at else w for i, w in enumerate(words)), " ".join(words[: rng.choice([160, 163, 164, 165])])]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts), limit=limit).collect()}
+    sets = [decontaminate.shingle_texts(t) for t in texts]
+    alike = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    want = {}
+    for k in range(0, len(texts), 3):
+        want |= plain_components([k, k + 1, k + 2], alike)
+    assert found == want and 20 < sum(k != v for k, v in want.items()) < 140
+
+
 def test_containment_search_matches_brute_force(spark):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (3, 5, 8, 20, 40, 60, 0)] + [None]
