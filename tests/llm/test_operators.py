@@ -337,3 +337,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[EMAIL]" in seen[3][good[3]].text and seen[3][good[3]].n_chars == len(seen[3][good[3]].text)
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in mixed} == set(seen[3])
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d, item = (prose(rng, 120) for _ in range(5))
+    near = a + " tail"
+    rows = [(None, a), (5, near), (4, b), (4, b), (4, c), (None, d), (None, d), (6, d + " end"), (3, c + " more")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted([(5, near), (4, b), (6, d + " end"), (3, c + " more")])
+    spark.createDataFrame([(1, item)], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "x " + item), (7, item), (7, a), (None, b)]
+    left = corpus_pipeline.drop_contaminated(spark, frame(spark, [(i, t, "en", "s") for i, t in rows]), str(tmp_path))
+    assert sorted(r.text for r in left.collect()) == sorted([a, b]) and left.columns == docs.columns
