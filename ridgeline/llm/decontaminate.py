@@ -138,12 +138,14 @@ class Index:
         self.table = np.zeros(1 << 20, bool)  # of the leading 20 bits, to pass over most hashes fast
         self.table[(self.key >> np.uint64(44)).astype(np.int64)] = True
 
-    def candidates(self, hashes: np.ndarray, owner: np.ndarray, n: int, pieces: bool = False) -> dict[int, set[int]]:
-        """Text index to the items whose sketch meets the text's sketch for the item's partition."""
+    def candidates(self, hashes: np.ndarray, owner: np.ndarray, n: int, cut: np.ndarray | None = None) -> dict[int, set[int]]:
+        """Text index to the items whose sketch meets the text's sketch for the item's partition. Texts marked in cut are here in part: their size says nothing."""
         found: dict[int, set[int]] = {}
         if not self.parts or not len(hashes):
             return found
         size = np.bincount(owner, minlength=n)
+        if cut is not None:
+            size[cut] = np.iinfo(np.int64).max
         hit = np.flatnonzero(self.table[(hashes >> np.uint64(44)).astype(np.int64)] & (hashes <= max(t for _, _, t in self.parts)))
         if not len(hit):
             return found
@@ -153,7 +155,7 @@ class Index:
             t = int(owner[h])
             for i in self.item[a:b].tolist():
                 need, top = least[self.part[i]]
-                if hashes[h] <= top and (size[t] >= need or pieces):
+                if hashes[h] <= top and size[t] >= need:
                     found.setdefault(t, set()).add(i)
         return found
 
@@ -162,37 +164,40 @@ class Index:
         return frozenset(shingle_texts(self.texts[i]))
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[int, bytes]]:
-    """(text, lower-cased piece); a very long text gives several, which hold all its shingles."""
+def _pieces(texts: list[str]) -> Iterator[tuple[int, bytes, bool]]:
+    """(text, lower-cased piece, whether there are more); a very long text gives several, which hold all its shingles."""
     for i, t in enumerate(texts):
         if len(t) <= GROUP_BYTES:
-            yield i, t.lower().encode("utf-8", "surrogatepass")
+            yield i, t.lower().encode("utf-8", "surrogatepass"), False
             continue
         words = [w for w in words_of(t) if w]
         for at in range(0, max(1, len(words) - WORDS + 1), PIECE_WORDS):
-            yield i, " ".join(words[at : at + PIECE_WORDS + WORDS - 1]).encode("utf-8", "surrogatepass")
+            yield i, " ".join(words[at : at + PIECE_WORDS + WORDS - 1]).encode("utf-8", "surrogatepass"), len(words) - WORDS + 1 > PIECE_WORDS
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
-    ids, some, size = [], [], 0
-    for i, t in _pieces(texts):
+def _groups(texts: list[str]) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """(text of each piece, pieces, the texts that were cut)."""
+    ids, some, parted, size = [], [], [], 0
+    for i, t, cut in _pieces(texts):
         ids.append(i)
         some.append(t)
+        if cut:
+            parted.append(i)
         size += len(t)
         if size >= GROUP_BYTES:
-            yield ids, some
-            ids, some, size = [], [], 0
+            yield ids, some, parted
+            ids, some, parted, size = [], [], [], 0
     if ids:
-        yield ids, some
+        yield ids, some, parted
 
 
 def search(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, shared, size of item) for all pairs that reach the containment."""
     found: dict[int, set[int]] = {}
-    for ids, some in _groups(texts):
+    for ids, some, parted in _groups(texts):
         hashes, owner = shingle_hashes(some)
         owner = np.array(ids, np.int64)[owner] - ids[0]  # pieces of one text count together
-        for t, items in index.candidates(hashes, owner, ids[-1] - ids[0] + 1, len(set(ids)) == 1).items():
+        for t, items in index.candidates(hashes, owner, ids[-1] - ids[0] + 1, np.array(parted, np.int64) - ids[0]).items():
             found.setdefault(t + ids[0], set()).update(items)
     for t, items in sorted(found.items()):
         own = shingle_texts(texts[t])

@@ -196,6 +196,18 @@ def test_containment_search_edges(spark, monkeypatch):
     assert list(decontaminate.search(index, ["", long, item])) == [(1, 0, 3, 3), (2, 0, 3, 3)]
 
 
+def test_an_item_across_the_last_border_of_a_long_text_is_found(monkeypatch):
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 40)
+    rng = random.Random(14)
+    for _ in range(20):
+        item = prose(rng, 6)
+        long = prose(rng, 79) + " " + item  # the last piece holds one shingle, the item's last
+        index = decontaminate.Index([1], [item])
+        for after in ([], ["short text"], ["short text", prose(rng, 12)]):
+            assert list(decontaminate.search(index, [prose(rng, 3), long, *after])) == [(1, 0, 2, 2)]
+
+
 def plain_removal(texts):
     seen, out = {}, {}
     for i, t in sorted(texts):
