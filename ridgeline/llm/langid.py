@@ -7,8 +7,10 @@ mixture, and the set with the least penalised likelihood (two nats and half a lo
 further language) is kept. The prediction is the language of the largest proportion, the score that
 proportion.
 
-The distributions are learned from a bounded sample (SAMPLE_ROWS rows by hash of their id, whole texts) of
-rows with a language whose crc32(id as text) modulo 5 is not 0; counts are summed on the executors.
+The distributions are learned from a bounded sample (SAMPLE_ROWS rows, whole texts) of rows with a language
+whose crc32(id as text) modulo 5 is not 0; counts are summed on the executors. The sample is spread over the
+languages: each has an equal share, by hash of the ids, and what a rare one leaves goes to the others. Every
+language that such a row has is learned, from one row at least.
 
 Defined results: null text or one without a letter gives `und`, score 0; with nothing to learn from every
 text gives `und`; ties go to the language that comes first by code point; extra columns are ignored.
@@ -68,15 +70,24 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sa
     """(languages, probabilities by slot and language). The result has a fixed size for each language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (F.coalesce(crc_mod("id", 5), F.lit(0)) != 0))
-    share = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.greatest(F.lit(1), F.lit(rows.select("id", "lang").count())))
-    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).orderBy("n", "lang").collect()
+    if not held:
+        return [], np.zeros((SLOTS, 0))
+    limits, left = [], sample_rows
+    for k, r in enumerate(held):  # from the rarest on
+        quota = min(r["n"], max(1, left // (len(held) - k)))
+        left -= quota
+        limits.append((r["lang"], max(r["least"], 1 << 30 if quota == r["n"] else int(quota / r["n"] * (1 << 30)))))
+    top = docs.sparkSession.createDataFrame(limits, "lang string, top long")
+    rows = rows.join(F.broadcast(top), "lang").where(place <= F.col("top")).select("lang", "text")
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in counts})
     place = {x: k for k, x in enumerate(langs)}
     table_ = np.zeros((SLOTS, len(langs)))
     for lang, slot, n in counts:
         table_[slot, place[lang]] = n
-    return langs, (table_ + SMOOTH) / (table_.sum(0) + SMOOTH * SLOTS) if langs else table_
+    return langs, (table_ + SMOOTH) / (table_.sum(0) + SMOOTH * SLOTS)
 
 
 def mixture(p: np.ndarray, n: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:

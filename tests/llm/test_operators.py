@@ -206,6 +206,16 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identified(docs, langid.learn(frame(spark, []))).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from_a_sample(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 8), "aa", None) for i in range(2000)] + [(i, prose(rng, 40, "ijklxyz"), "zz", None) for i in range(2000, 2004)]
+    docs = frame(spark, rows)
+    model = langid.learn(docs, sample_rows=20)
+    assert model[0] == ["aa", "zz"]
+    assert langid.identify(prose(rng, 40, "ijklxyz"), *model)[0] == "zz"
+    assert langid.learn(docs, sample_rows=1)[0] == ["aa", "zz"]
+
+
 # ---- personal data
 
 PII = [
