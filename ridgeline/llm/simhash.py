@@ -271,10 +271,10 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nd
     return shingles[np.argsort(rank, kind="stable")[: len(shingles) - (4 * len(shingles) + 4) // 5 + 1]]
 
 
-def parity(shingles: np.ndarray) -> bytes:
+def parity(shingles: np.ndarray, bits: int = MAP_BITS) -> bytes:
     """A bitmap of the parity of how many shingles fall on each bit."""
-    at = (shingles >> np.uint64(20)).astype(np.int64) & (MAP_BITS - 1)
-    return np.packbits((np.bincount(at, minlength=MAP_BITS) & 1).astype(bool)).tobytes()
+    at = (shingles >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
 
 
 def _packed(shingles: np.ndarray) -> bytes:
@@ -329,16 +329,22 @@ def _may_agree(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return possible
 
 
-def _agree(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Whether sets of shingles agree with x to 0.8 or more, by count."""
-    sizes = np.fromiter(map(len, rest), np.int64, len(rest))
-    out = 5 * np.minimum(sizes, len(x)) >= 4 * np.maximum(sizes, len(x))
+def _agree(x: tuple, rest: np.ndarray) -> np.ndarray:
+    """Whether sets of shingles agree with x to 0.8 or more, by count. Rows: (size, bitmap, set)."""
+    n, bits, own = x
+    sizes = np.fromiter((r[0] for r in rest), np.int64, len(rest))
+    out = 5 * np.minimum(sizes, n) >= 4 * np.maximum(sizes, n)
     at = np.flatnonzero(out)
+    if len(at):  # the bound of the bitmaps first
+        differ = np.bitwise_count(np.stack([r[1] for r in rest[at]]) ^ bits).sum(axis=1, dtype=np.int64)
+        possible = 9 * differ <= sizes[at] + n
+        out[at] = possible
+        at = at[possible]
     if len(at):
-        flat = np.concatenate(rest[at])
-        same = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        flat = np.concatenate([r[2] for r in rest[at]])
+        same = own[np.minimum(np.searchsorted(own, flat), n - 1)] == flat
         both = np.add.reduceat(same.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
-        out[at] = 9 * both >= 4 * (sizes[at] + len(x))
+        out[at] = 9 * both >= 4 * (sizes[at] + n)
     return out
 
 
@@ -379,6 +385,14 @@ def _group_forests(read, alike):
     return run
 
 
+def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        a, c = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "u8").reshape(-1, MAP_BITS // 64) for k in (4, 5))
+        near = (5 * np.minimum(a, c) >= 4 * np.maximum(a, c)) & (9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= a + c)
+        yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
+
+
 def _bitmap_rows(members) -> np.ndarray:
     bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), "u8").reshape(-1, MAP_BITS // 64)
     return np.column_stack((bits, members.field("m").to_numpy(zero_copy_only=False).view("u8")))
@@ -386,8 +400,11 @@ def _bitmap_rows(members) -> np.ndarray:
 
 def _set_rows(members) -> np.ndarray:
     out = np.empty(len(members), object)
-    for k, x in enumerate(members.field("shingles")):
-        out[k] = _unpacked(x.as_buffer())
+    sets = [_unpacked(x.as_buffer()) for x in members.field("shingles")]
+    # Bitmaps as long as the largest set asks for, within 64 MB.
+    bits = 1 << min(16, max(10, (2 * max(map(len, sets))).bit_length()), max(10, ((64 << 23) // len(sets)).bit_length() - 1))
+    for k, x in enumerate(sets):
+        out[k] = (len(x), np.frombuffer(parity(x, bits), "u8"), x)
     return out
 
 
@@ -406,7 +423,10 @@ def prefix_links(nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"))
     # Copies share many shingles: of the buckets with the same members one is enough.
     counts = cut(counts.where("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("bucket").alias("bucket")), "simhash-buckets")
-    pairs = counts.where("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    bare = nodes.select("node", "m", "bits")
+    side = lambda x: bare.select(F.col("node").alias(x), F.col("m").alias(f"m_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = counts.where("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.select("a", "b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(_possible_pairs, "a long, b long")
     shared = cut(rows.join(counts.where("n > 2").select("bucket", "n"), "bucket"), "simhash-shared")
     groups = _dealt(shared.join(nodes.select("node", "m", "bits"), "node"), "bucket", ["m", "bits"], limit)
     return pairs.unionByName(groups.mapInArrow(_group_forests(_bitmap_rows, _may_agree), "a long, b long")).distinct()
