@@ -28,9 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ridgeline.llm.common import cut, table
+from ridgeline.llm.common import attach, cut, small, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -209,13 +208,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the least doc_id that links reach, itself included. One row per input row."""
     prints = cut(fingerprints(docs, id_col, text_col), "simhash-prints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = cut(components(links(distinct.select("fp"))), "simhash-roots")
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.withColumnRenamed("node", "fp").join(of_root, "root").select("fp", "component_id")
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    ids = _component_ids(distinct, cut(components(links(distinct.select("fp"))), "simhash-roots"), "fp")
+    return attach(prints, ids, "fp", "n").select("doc_id", "fp", "component_id")
+
+
+def _component_ids(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """key, n, component_id (the least id of the node's component) of all nodes (key, least, n)."""
+    roots = roots.withColumnRenamed("node", key)
+    of_root = nodes.select(key, "least").join(roots, key).groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.join(of_root, "root").select(key, "component_id")
+    return cut(nodes.join(linked, key, "left").select(key, "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-ids")
 
 
 # ---- near copies at a similarity of 0.8 -----------------------------------------------------------------
@@ -227,19 +230,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # The order is by counts in a sample, then by hash; any order finds all pairs, a good one keeps buckets small.
 #
 # In a bucket two bounds pass over pairs that cannot agree to 0.8: sizes, and bitmaps of parity, which differ
-# in no more bits than the sets differ in shingles. Neither loses a pair.
-
-# Candidate links only bound the search: their components are searched again with the sets of shingles
-# themselves, and only links of 0.8 by count stay. Sets are of 48-bit hashes.
+# in no more bits than the sets differ in shingles. Neither loses a pair. Bitmaps have two to four bits a
+# shingle, at any length, so few pairs below 0.8 pass.
+#
+# The search leaves a spanning forest of pairs that passed. Its edges are settled by the sets of shingles
+# themselves, as 48-bit hashes. A component whose edges all hold is done. Where one fails the component falls
+# into pieces; all members but those of its largest piece are compared with all members by their sets.
 
 COPY_WORDS = 5
-#: Bits of a bitmap (a power of two).
-MAP_BITS = 1024
+#: Fewest bits of a bitmap (a power of two).
+MAP_BITS = 256
 #: Documents whose shingles are counted for the order, and most shingles that count as common.
 ORDER_SAMPLE = 8_000
 MOST_COMMON = 1 << 18
 #: Shingles of one block of a component, for each row of a block of a bucket.
 BLOCK_SHINGLES = 64
+#: Bytes of bitmaps that count as one row of a bucket.
+ROW_BYTES = 128
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -271,12 +278,26 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nd
     return shingles[np.argsort(rank, kind="stable")[: len(shingles) - (4 * len(shingles) + 4) // 5 + 1]]
 
 
-def parity(shingles: np.ndarray, bits: int = MAP_BITS) -> bytes:
-    """A bitmap of the parity of how many shingles fall on each bit."""
-    at = (shingles >> np.uint64(20)).astype(np.int64) & (bits - 1)
+def map_bits(m: int) -> int:
+    """Bits of the bitmap of m shingles: the power of two from 2 m on."""
+    return max(MAP_BITS, 1 << max(0, 2 * m - 1).bit_length())
+
+
+def parity(shingles: np.ndarray, bits: int = 0) -> bytes:
+    """A bitmap of the parity of how many shingles fall on each bit. Its two halves, combined by XOR, are the bitmap of half the bits."""
+    bits = bits or map_bits(len(shingles))
+    at = (shingles >> np.uint64(4)).astype(np.int64) & (bits - 1)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def folded(data: bytes, bits: int) -> np.ndarray:
+    """A bitmap as words, folded to so many bits."""
+    out = np.frombuffer(data, "u8")
+    while len(out) * 64 > bits:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def _packed(shingles: np.ndarray) -> bytes:
     return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -304,17 +325,27 @@ def common_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
     return known[order], counts[order]
 
 
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes())
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _printer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             sets = [copy_shingles(t.as_py()) for t in b.column(1)]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "u8").view("i8")
+            node = np.array([_node(s) for s in sets], "u8").view("i8")
             first = [prefix(s, shared.value).view("i8") for s in sets]
             columns = [
-                b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
-                pa.array([parity(s) for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary()),
+                b.column(0), b.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
+                pa.array([parity(s) for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "m", "first", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "m", "first", "bits"])
 
     return run
 
@@ -349,37 +380,38 @@ def _agree(x: tuple, rest: np.ndarray) -> np.ndarray:
 
 
 def forest(ids: np.ndarray, rows: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest over rows that alike(row, rows) links, as spanning() does it for bits."""
+    """Edges (node, the node that reached it) of a spanning forest over rows that alike(row, rows) links; a search as in spanning()."""
     ids, first = np.unique(ids, return_index=True)
-    rows, nodes, roots = rows[first], [], []
+    rows, nodes, parents = rows[first], [], []
     while len(ids) > 1:
-        frontier, root, ids, rows = [rows[:1]], ids[0], ids[1:], rows[1:]
+        frontier, ids, rows = [(ids[:1], rows[:1])], ids[1:], rows[1:]
         while frontier and len(ids):
-            near = np.zeros(len(ids), bool)
-            for x in frontier.pop():
-                left = np.flatnonzero(~near)
-                near[left[alike(x, rows[left])]] = True
-                if near.all():
+            by = np.full(len(ids), -1)
+            names, some = frontier.pop()
+            for k, x in enumerate(some):
+                left = np.flatnonzero(by < 0)
+                by[left[alike(x, rows[left])]] = k
+                if (by >= 0).all():
                     break
+            near = by >= 0
             if near.any():
                 nodes.append(ids[near])
-                roots.append(np.full(int(near.sum()), root))
-                frontier.append(rows[near])
+                parents.append(names[by[near]])
+                frontier.append((ids[near], rows[near]))
                 ids, rows = ids[~near], rows[~near]
     if not nodes:
         return np.empty(0, "i8"), np.empty(0, "i8")
-    return np.concatenate(nodes), np.concatenate(roots)
+    return np.concatenate(nodes), np.concatenate(parents)
 
 
-def _group_forests(read, alike):
-    """Rows of grouped members to forest edges."""
+def _group_forests(parts, alike):
+    """Rows of grouped members to forest edges. parts(members) gives (nodes, rows) to search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(np.empty(0, "i8"), np.empty(0, "i8"))]
             for group in b.column(0):
-                members = group.values
-                found.append(forest(members.field("node").to_numpy(zero_copy_only=False), read(members), alike))
+                found += [forest(ids, rows, alike) for ids, rows in parts(group.values)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -388,24 +420,34 @@ def _group_forests(read, alike):
 def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         a, c = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "u8").reshape(-1, MAP_BITS // 64) for k in (4, 5))
-        near = (5 * np.minimum(a, c) >= 4 * np.maximum(a, c)) & (9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= a + c)
+        near = 5 * np.minimum(a, c) >= 4 * np.maximum(a, c)
+        for k in np.flatnonzero(near):
+            x, y = b.column(4)[k].as_buffer(), b.column(5)[k].as_buffer()
+            bits = 8 * min(len(x), len(y))
+            near[k] = 9 * int(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum(dtype=np.int64)) <= a[k] + c[k]
         yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
 
 
-def _bitmap_rows(members) -> np.ndarray:
-    bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), "u8").reshape(-1, MAP_BITS // 64)
-    return np.column_stack((bits, members.field("m").to_numpy(zero_copy_only=False).view("u8")))
+def _by_bitmap(members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members by the length of their bitmaps, each with the longer ones that may agree with the largest set of this length."""
+    ids, m = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "m"))
+    data = members.field("bits")
+    length = 8 * np.fromiter((len(x.as_buffer()) for x in data), np.int64, len(ids))
+    for bits in np.unique(length):
+        own = np.flatnonzero((length == bits) | ((length == 2 * bits) & (4 * m <= 5 * (bits // 2))))
+        if len(own) > 1:
+            rows = np.stack([folded(data[int(k)].as_buffer(), int(bits)) for k in own])
+            yield ids[own], np.column_stack((rows, m[own].view("u8")))
 
 
-def _set_rows(members) -> np.ndarray:
+def _by_set(members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     out = np.empty(len(members), object)
     sets = [_unpacked(x.as_buffer()) for x in members.field("shingles")]
     # Bitmaps as long as the largest set asks for, within 64 MB.
     bits = 1 << min(16, max(10, (2 * max(map(len, sets))).bit_length()), max(10, ((64 << 23) // len(sets)).bit_length() - 1))
     for k, x in enumerate(sets):
         out[k] = (len(x), np.frombuffer(parity(x, bits), "u8"), x)
-    return out
+    yield members.field("node").to_numpy(zero_copy_only=False), out
 
 
 def _dealt(members: DataFrame, key: str, columns: list[str], limit: int) -> DataFrame:
@@ -417,40 +459,150 @@ def _dealt(members: DataFrame, key: str, columns: list[str], limit: int) -> Data
     return dealt.groupBy(key, "p").agg(F.collect_list(F.struct("node", *columns)).alias("members")).select("members")
 
 
-def prefix_links(nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Candidate edges (a, b) between nodes (node, m, first, bits). Only (bucket, node) rows are dealt; bitmaps join the few that share a bucket."""
-    rows = nodes.select("node", F.explode("first").alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"))
+def _dealt_minors(members: DataFrame, limit: int) -> DataFrame:
+    """Members (root, node, shingles, minor, n_minor, n_major) as lists in which every minor member meets every member.
+
+    Blocks of minor members come first, then blocks of the others; groups are the pairs whose first block is a
+    minor one. So the others are copied once for each block of minor members, of which there is mostly one.
+    """
+    whole = F.col("n_minor") + F.col("n_major") <= F.lit(limit)
+    few, more = (F.when(whole, 0).otherwise(F.ceil(F.col(c) / F.lit(limit))).cast("int") for c in ("n_minor", "n_major"))
+    at = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(n, F.lit(1))).cast("int")
+    dealt = members.withColumn("few", few).withColumn("more", more)
+    dealt = dealt.withColumn("own", F.when(F.col("minor"), at(F.col("few"))).otherwise(F.col("few") + at(F.col("more"))))
+    pair = lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"))
+    last = F.when(F.col("minor"), F.col("few") + F.col("more") - 1).otherwise(F.col("few") - 1)
+    pairs = F.when(F.col("few") == 0, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), last), pair))
+    dealt = dealt.withColumn("p", F.explode(pairs))
+    return dealt.groupBy("root", "p").agg(F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
+
+
+def _kept_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to a spanning forest of them, in pieces of bounded size. Unlike _contract it keeps only edges that it was given."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= 2 * CONTRACT:
+            held = [_spanning_edges(held)]
+    if held:
+        yield _spanning_edges(held)
+
+
+def _spanning_edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    a, b = (np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in held]) for k in (0, 1))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    up, keep = list(range(len(ids))), []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for k, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(k)
+    return pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """A subset of the edges (a, b) with the same components; while that pays, shares of the edges lose what closes a circle."""
+    now = cut(edges, "simhash-edges")
+    n = now.count()
+    while n:
+        parts = -(-n // CONTRACT)
+        now = cut(now.repartition(parts, F.least("a", "b")).mapInArrow(_kept_forest, "a long, b long"), "simhash-edges")
+        left = now.count()
+        if parts == 1 or left > 0.8 * n:
+            break
+        n = left
+    return now
+
+
+def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, set of a, set of b) to (a, b, whether the sets agree to 0.8)."""
+    for batch in batches:
+        out = []
+        for k in range(len(batch)):
+            x, y = (_unpacked(batch.column(c)[k].as_buffer()) for c in (2, 3))
+            out.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "holds"])
+
+
+def prefix_links(prints: DataFrame, nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Candidate edges (a, b) between nodes. prints: node, first (a row a document); nodes: node, m, bits (a row a node).
+
+    One exchange of (bucket, node) finds the buckets with two nodes or more; bitmaps join the few rows of those.
+    """
+    rows = prints.select("node", F.explode("first").alias("bucket"))
+    met = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    shared = cut(rows.join(small(cut(met, "simhash-met")), "bucket").select("bucket", "node").distinct(), "simhash-shared")
+    sums = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"))
     # Copies share many shingles: of the buckets with the same members one is enough.
-    counts = cut(counts.where("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("bucket").alias("bucket")), "simhash-buckets")
-    bare = nodes.select("node", "m", "bits")
-    side = lambda x: bare.select(F.col("node").alias(x), F.col("m").alias(f"m_{x}"), F.col("bits").alias(f"bits_{x}"))
-    pairs = counts.where("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    sums = cut(sums.groupBy("n", "lo", "hi", "x").agg(F.min("bucket").alias("bucket")), "simhash-buckets")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("m").alias(f"m_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = sums.where("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.select("a", "b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(_possible_pairs, "a long, b long")
-    shared = cut(rows.join(counts.where("n > 2").select("bucket", "n"), "bucket"), "simhash-shared")
-    groups = _dealt(shared.join(nodes.select("node", "m", "bits"), "node"), "bucket", ["m", "bits"], limit)
-    return pairs.unionByName(groups.mapInArrow(_group_forests(_bitmap_rows, _may_agree), "a long, b long")).distinct()
+    members = cut(shared.join(sums.where("n > 2").select("bucket"), "bucket").join(nodes.select("node", "m", "bits"), "node"), "simhash-members")
+    size = members.groupBy("bucket").agg(F.greatest(F.count(F.lit(1)), F.sum(F.octet_length("bits")) / F.lit(ROW_BYTES)).alias("n"))
+    groups = _dealt(members.join(size, "bucket"), "bucket", ["m", "bits"], limit)
+    return pairs.unionByName(groups.mapInArrow(_group_forests(_by_bitmap, _may_agree), "a long, b long")).distinct()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, node) to (node, shingles) where the text is the node's."""
+    for b in _sliced(batches):
+        found = [copy_shingles(t.as_py()) for t in b.column(0)]
+        own = pa.array([_node(s) == n % (1 << 64) for s, n in zip(found, b.column(1).to_pylist())], pa.bool_())
+        packed = pa.array([_packed(s) for s in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(1).filter(own), packed.filter(own)], ["node", "shingles"])
+
+
+def _exact_roots(edges: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """node, root of the components of all links of 0.8, for the nodes of a spanning forest (edges) of candidate links."""
+    uses = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
+    sets = cut(sets.join(uses, "node"), "simhash-sets")
+    of = lambda x: sets.select(F.col("node").alias(x), "uses", F.col("shingles").alias(f"of_{x}"))
+    both = attach(attach(edges, of("a"), "a", "uses"), of("b"), "b", "uses").select("a", "b", "of_a", "of_b")
+    tried = cut(both.mapInArrow(_hold, "a long, b long, holds boolean"), "simhash-tried")
+    roots = cut(components(tried.where("holds").select("a", "b")), "simhash-pieces")
+    failed = tried.where("not holds").select(F.col("a").alias("node"))
+    if failed.isEmpty():
+        return roots
+    loose = cut(components(edges), "simhash-loose")
+    torn = failed.join(loose, "node").select("root").distinct()
+    members = loose.join(torn, "root").join(roots.withColumnRenamed("root", "piece"), "node", "left").join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
+    members = cut(members.select("root", "node", F.coalesce("piece", "node").alias("piece"), F.expr("size div 6").alias("m")), "simhash-torn")
+    pieces = members.groupBy("root", "piece").agg(F.sum("m").alias("m"))
+    sizes = pieces.groupBy("root").agg(F.max_by("piece", F.struct("m", "piece")).alias("major"), F.max("m").alias("n_major"), (F.sum("m") - F.max("m")).alias("n_minor"))
+    members = members.join(sizes, "root").withColumn("minor", F.col("piece") != F.col("major")).join(sets.select("node", "shingles"), "node")
+    more = _dealt_minors(members, limit * BLOCK_SHINGLES).mapInArrow(_group_forests(_by_set, _agree), "a long, b long")
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return cut(components(stars.unionByName(more)), "simhash-roots")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_LIMIT) -> DataFrame:
-    """doc_id, component_id for every row: documents whose five-word shingles agree to 0.8 or more share a component."""
+    """doc_id, component_id for every row: documents whose five-word shingles agree to 0.8 or more share a component.
+
+    Texts are read twice: once for bitmaps and prefixes, and again, for nodes with a candidate link only, for their sets.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(made))
-    made = made.mapInArrow(_printer(common), f"doc_id {kind}, node long, m long, first array<long>, bits binary, shingles binary")
-    prints = cut(made, "simhash-prints")
-    same = [F.first(c).alias(c) for c in ("m", "first", "bits")]  # equal for all rows of a node
-    nodes = cut(prints.groupBy("node").agg(*same, F.min("doc_id").alias("least")), "simhash-nodes")
-    candidates = cut(components(prefix_links(nodes, limit)), "simhash-candidates")
-    placed = nodes.select("node", "m").join(candidates, "node")
-    sizes = placed.groupBy("root").agg(F.sum("m").alias("n"))
-    sets = prints.select("node", "shingles").join(candidates, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"))
-    links_ = _dealt(sets.join(sizes, "root"), "root", ["shingles"], limit * BLOCK_SHINGLES).mapInArrow(_group_forests(_set_rows, _agree), "a long, b long")
-    roots = cut(components(links_.distinct()), "simhash-roots")
-    of_root = nodes.select("node", "least").join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(of_root, "root").select("node", "component_id")
-    ids = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+    prints = cut(made.mapInArrow(_printer(common), f"doc_id {kind}, h long, node long, m long, first array<long>, bits binary"), "simhash-prints")
+    same = [F.first(c).alias(c) for c in ("m", "bits")]  # equal for all rows of a node
+    rep = F.min(F.struct("doc_id", "h")).alias("rep")
+    nodes = cut(prints.groupBy("node").agg(*same, F.min("doc_id").alias("least"), rep, F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    edges = spanning_forest(prefix_links(prints, nodes, limit))
+    named = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(nodes.join(named, "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("rep_h")), "simhash-wanted")
+    near = small(wanted)
+    texts = made.join(near, (made["h"] == near["rep_h"]) & made["doc_id"].eqNullSafe(near["id"])).select("text", "node")
+    sets = texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    ids = _component_ids(nodes.select("node", "least", "n"), _exact_roots(edges, sets, limit), "node")
+    return attach(prints.select("doc_id", "node"), ids, "node", "n").select("doc_id", "component_id")
 
 
 def op9_simhash(spark, sf_dir) -> DataFrame:
