@@ -58,9 +58,10 @@ def resize_error(record_type: Column, width: Column, height: Column, wsq: Column
     """Why an image may not be resized to a size; null if it may."""
     ok_type = record_type.isin(3, 4, 5, 6, 8, 10, 13, 14, 15, 16, 17)
     return (
-        F.when(~ok_type, F.concat(F.lit("Image resizing is not supported for Type-"), record_type.cast("string")))
-        .when((width <= 0) | (height <= 0), "Image dimensions must be greater than zero")
-        .when(wsq & ~(width.between(128, 65535) & height.between(128, 65535)), "WSQ images require dimensions between 128 and 65535 pixels")
-        .when(record_type.between(3, 8) & ((width > 65535) | (height > 65535)), "Binary image records allow at most 65535 pixels per side")
-        .when(width.cast("long") * height.cast("long") * 4 > most_bytes, "Image dimensions exceed the memory limit")
+        F.when(~ok_type, F.concat(F.lit("Resizing is not supported for Type-"), record_type.cast("string")))
+        .when((width <= 0) | (height <= 0), "Width and height must be greater than zero")
+        .when(wsq & ~record_type.isin(3, 4, 13, 14, 15, 16), "This record type cannot store a resized WSQ image")
+        .when(wsq & ~(width.between(128, 65535) & height.between(128, 65535)), "WSQ resizing supports dimensions from 128 to 65535 pixels; the original image is kept for unsupported sizes")
+        .when(record_type.between(3, 8) & ((width > 65535) | (height > 65535)), "Legacy binary records support dimensions of at most 65535 pixels")
+        .when(width.cast("long") * height.cast("long") * 4 > most_bytes, "Requested image exceeds the image processing memory limit; choose smaller dimensions")
     )

@@ -72,13 +72,14 @@ def decode_record(record: dict, preview: bool = False) -> Raster:
     return raster.read_image(data)
 
 
-def images(records: DataFrame, preview: bool = False) -> DataFrame:
+def images(records: DataFrame, preview: bool = False, spread: bool = False) -> DataFrame:
     """Decoded images of records (path, record_index, record_type, image_data, fields), one row an image.
 
-    Rows are spread by record first, so a file with many images does not keep one task busy.
+    spread: rows are dealt by record first, for few files with very many images each, which else keep one task
+    a file busy; that moves every payload once.
     """
     own = records.where(F.col("image_data").isNotNull()).select("path", "record_index", "record_type", "image_data", "fields")
-    own = own.repartition(F.col("path"), F.col("record_index"))
+    own = own.repartition(F.col("path"), F.col("record_index")) if spread else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +202,8 @@ def replace_images(transactions: DataFrame, replacements: DataFrame) -> DataFram
         for t in todo or []:
             replace_in(records, warnings, t["record_index"], t["data"])
 
-    return itl.map_records(transactions.join(by_path, "path", "left"), edit, "todo")
+    size = F.aggregate("todo", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["data"]) + 8)
+    return itl.map_records(itl.with_edits(transactions, by_path, size), edit, "todo")
 
 
 def resize_images(transactions: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def resize_images(transactions: DataFrame, sizes: DataFrame) -> DataFrame:
         for t in todo or []:
             resize_in(records, warnings, t["record_index"], t["width"], t["height"])
 
-    return itl.map_records(transactions.join(by_path, "path", "left"), edit, "todo")
+    return itl.map_records(itl.with_edits(transactions, by_path, F.size("todo") * 12), edit, "todo")
 
 
 def export_png(images_df: DataFrame) -> DataFrame:

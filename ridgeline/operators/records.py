@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,7 +144,8 @@ def apply_drafts(transactions: DataFrame, drafts: DataFrame) -> DataFrame:
                 raise itl.Malformed(str(e)) from e
         itl.serialise(records, warnings)
 
-    return itl.map_records(transactions.join(by_path, "path", "left"), edit, "todo")
+    size = F.aggregate("todo", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["draft_value"]) + 16)
+    return itl.map_records(itl.with_edits(transactions, by_path, size), edit, "todo")
 
 
 def image_changed(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -158,11 +163,19 @@ def image_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", "record_index", (~same).alias("image_changed"))
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for k, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            d = np.abs(np.frombuffer(x, np.uint8).astype(np.int64) - np.frombuffer(y, np.uint8))
+            rows.append((k, int((d > 0).sum()), int(d.max()), float((d * d).mean())))
+        columns = [b.column(0), *[pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.float64()))]]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "n_different", "largest", "mean_square"])
+
+
 def pixel_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of rasters of equal size (key, pixels): differing samples, the largest difference, the mean square."""
+    kind = a.schema["key"].dataType.simpleString()
     both = a.select("key", F.col("pixels").alias("x")).join(b.select("key", F.col("pixels").alias("y")), "key")
-    byte = lambda p, i: F.conv(F.hex(F.substring(p, i, F.lit(1))), 16, 10).cast("int")
-    differences = F.transform(F.sequence(F.lit(1), F.octet_length("x")), lambda i: F.abs(byte(F.col("x"), i) - byte(F.col("y"), i)))
-    d = both.where((F.octet_length("x") == F.octet_length("y")) & (F.octet_length("x") > 0)).withColumn("d", differences)
-    square = F.aggregate("d", F.lit(0).cast("long"), lambda acc, v: acc + v * v)
-    return d.select("key", F.size(F.filter("d", lambda v: v > 0)).alias("n_different"), F.array_max("d").alias("largest"), (square / F.size("d")).alias("mean_square"))
+    both = both.where((F.octet_length("x") == F.octet_length("y")) & (F.octet_length("x") > 0)).select("key", "x", "y")
+    return both.mapInArrow(_differences, f"key {kind}, n_different int, largest int, mean_square double")

@@ -34,8 +34,9 @@ def _t(spark, sf, name) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def _documents(spark, sf) -> DataFrame:
-    return itl.decode(synth.documents(_t(spark, sf, "documents")))
+def _documents(spark, sf, raw: bool = False) -> DataFrame:
+    """Documents as transactions; raw: with the bytes of fields, which only edits need."""
+    return itl.decode(synth.documents(_t(spark, sf, "documents")), images=raw, raw=raw)
 
 
 def _vectors(spark, sf, kind=4) -> DataFrame:
@@ -83,7 +84,7 @@ def _nested(rows: DataFrame, path, fields: list, dcs: str | None, warnings=None)
 @query("SELECT c_custkey, c_name || ' é' AS name, c_mktsegment AS segment FROM customer")
 def rt_latin1_customer(spark, sf):
     nested = _nested(_t(spark, sf, "customer"), F.col("c_custkey"), [(3, F.concat("c_name", F.lit(" é"))), (4, F.col("c_mktsegment"))], None)
-    f = itl.fields(itl.decode(itl.encode(nested))).where("record_type = 2")
+    f = itl.fields(itl.decode(itl.encode(nested), images=False, raw=False)).where("record_type = 2")
     pick = lambda n: F.max(F.when(F.col("field") == n, F.col("value")))
     return f.groupBy(_id("c_custkey")).agg(pick(3).alias("name"), pick(4).alias("segment"))
 
@@ -147,7 +148,7 @@ def _orders(spark, sf) -> DataFrame:
 
 @query("""SELECT l_orderkey AS order_key, count(*) AS n_lines, sum(l_partkey)::BIGINT AS parts, sum(l_suppkey)::BIGINT AS suppliers FROM lineitem GROUP BY l_orderkey""")
 def subfield_items(spark, sf):
-    own = itl.items(itl.decode(_orders(spark, sf))).where("record_index = 1 AND field = 3").withColumn("v", F.col("item").cast("long"))
+    own = itl.items(itl.decode(_orders(spark, sf), images=False, raw=False)).where("record_index = 1 AND field = 3").withColumn("v", F.col("item").cast("long"))
     pick = lambda n: F.sum(F.when(F.col("item_pos") == n, F.col("v")))
     return own.groupBy(_id("order_key")).agg(F.countDistinct("subfield_pos").alias("n_lines"), pick(0).alias("parts"), pick(1).alias("suppliers"))
 
@@ -170,13 +171,13 @@ def cnt_directory(spark, sf):
     head = record(1, [field(2, "VER", F.lit("0400"))])
     rows = F.transform("l", lambda x: record(2, [field(2, "IDC", F.lpad(x.cast("string"), 2, "0"))]))
     nested = numbers.select(F.col("l_orderkey").cast("string").alias("path"), F.array().cast("array<string>").alias("warnings"), F.concat(F.array(head), rows).alias("records"))
-    r = itl.records(itl.decode(itl.encode(nested))).where("record_index = 0")
+    r = itl.records(itl.decode(itl.encode(nested), images=False, raw=False)).where("record_index = 0")
     return r.select(_id("order_key"), ops.field_value("CNT").alias("cnt"))
 
 
 @query("""SELECT l_orderkey AS order_key, '1' || chr(31) || '1' || chr(30) || '2' || chr(31) || '00' AS cnt FROM lineitem GROUP BY l_orderkey""")
 def directory_rebuilt(spark, sf):
-    return ops.directory(itl.records(itl.decode(_orders(spark, sf)))).select(_id("order_key"), "cnt")
+    return ops.directory(itl.records(itl.decode(_orders(spark, sf), images=False, raw=False))).select(_id("order_key"), "cnt")
 
 
 # ---- lookups --------------------------------------------------------------------------------------------
@@ -216,19 +217,30 @@ def compression_lookup(spark, sf):
     return r.select(_id("vec_id"), ops.compression_algorithm().alias("compression"))
 
 
-@query("""SELECT p_partkey, p_size AS record_type, 'Type-' || p_size AS label, CASE p_size """ + " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.RECORD_TYPES.items()) + " ELSE 'Unknown' END AS type_name FROM part")
+# Fixed values of the format once more, for the SQL side only: the names and codes that a reader of files must show.
+_NAMES_SQL = """(VALUES (1, 'Transaction Information'), (2, 'User-defined Descriptive Text'), (3, 'Low-resolution Grayscale Fingerprint'), (4, 'High-resolution Grayscale Fingerprint'),
+ (5, 'Low-resolution Binary Fingerprint'), (6, 'High-resolution Binary Fingerprint'), (7, 'User-defined Image'), (8, 'Signature Image'), (9, 'Minutiae Data'), (10, 'Facial & SMT Image'),
+ (11, 'Forensic & Investigatory Voice'), (12, 'Forensic Dental & Oral Care Data'), (13, 'Variable-resolution Latent Image'), (14, 'Variable-resolution Fingerprint'), (15, 'Palm Print Image'),
+ (16, 'User-defined Test Image'), (17, 'Iris Image'), (99, 'CBEFF (Biometric Data Block)')) AS names(t, n)"""
+_CODES_SQL = """(VALUES ([1], 'LEN VER CNT TOT DAT PRY DAI ORI TCN TCR NSR NTR DOM GMT DCS APS ANM GNS'), ([2], 'LEN IDC'), ([3, 4, 5, 6], 'LEN IDC IMP FGP ISR HLL VLL GCA'), ([7], 'LEN IDC'),
+ ([8], 'LEN IDC SIG SRT ISR HLL VLL GCA'), ([9], 'LEN IDC IMP FGP - - - - - - - ISR HLL VLL - - - - - COM'),
+ ([10], 'LEN IDC IMT SRC PHD HLL VLL SLC HPS VPS CGA CSP SAP FIP - - - - - POS POA - - - - - - - - - - - - - - - - COM T10 SMT'),
+ ([13, 14], 'LEN IDC IMP SRC FCD HLL VLL SLC HPS VPS CGA BPX FGP - - - - - - - - NQM'), ([15], 'LEN IDC IMP SRC FCD HLL VLL SLC HPS VPS CGA BPX FGP'),
+ ([16, 17], 'LEN IDC - - - HLL VLL SLC HPS VPS CGA BPX CSP')) AS known(types, listed)"""
+
+
+@query(f"""SELECT p_partkey, p_size AS record_type, 'Type-' || p_size AS label, CASE WHEN n IS NULL THEN 'Unknown' ELSE 'Type-' || t || ': ' || n END AS type_name
+           FROM part LEFT JOIN {_NAMES_SQL} ON t = p_size""")
 def type_name_join(spark, sf):
     parts = _t(spark, sf, "part").select("p_partkey", F.col("p_size").alias("record_type"))
     joined = parts.join(F.broadcast(codes.record_types(spark)), "record_type", "left")  # 18 rows
     return joined.select("p_partkey", "record_type", codes.type_label(F.col("record_type")).alias("label"), F.coalesce("type_name", F.lit("Unknown")).alias("type_name"))
 
 
-_CODE_SQL = ", ".join(f"({t}, {f}, '{c}')" for (t, f), c in codes.FIELD_CODES.items())
-
-
-@query(f"""SELECT p_partkey, p_size % 19 AS record_type, (p_partkey % 41)::INTEGER AS field,
-           coalesce(c, CASE WHEN p_size % 19 = 2 THEN 'UTF' WHEN p_partkey % 41 = 1 THEN 'LEN' ELSE '' END) AS code
-           FROM part LEFT JOIN (VALUES {_CODE_SQL}) AS d(t, f, c) ON t = p_size % 19 AND f = p_partkey % 41""")
+@query(f"""WITH d AS (SELECT unnest(types) AS t, string_split(listed, ' ') AS l FROM {_CODES_SQL}),
+           p AS (SELECT p_partkey, p_size % 19 AS record_type, (p_partkey % 41)::INTEGER AS field FROM part)
+           SELECT p_partkey, record_type, field, coalesce(nullif(l[CASE WHEN field > 0 THEN field END], '-'), CASE WHEN record_type = 2 THEN 'UTF' WHEN field = 1 THEN 'LEN' ELSE '' END) AS code
+           FROM p LEFT JOIN d ON t = record_type""")
 def code_join(spark, sf):
     parts = _t(spark, sf, "part").select("p_partkey", (F.col("p_size") % 19).alias("record_type"), (F.col("p_partkey") % 41).cast("int").alias("field"))
     return codes.with_codes(parts).select("p_partkey", "record_type", "field", "code")
@@ -244,10 +256,38 @@ def file_list(spark, sf):
     return ops.file_list(_vectors(spark, sf)).select(_id("vec_id"), "n_records", "read_only", "kb")
 
 
-@query("""SELECT vec_id, unnest([1, 2, 6, 7, 11, 12, 999]) AS field, unnest(['LEN', 'IDC', 'HLL', 'VLL', 'CGA', 'BPX', 'DATA']) AS code,
-          unnest([false, true, true, true, true, true, false]) AS editable, unnest(['132', '01', '8', '8', 'NONE', '8', '<64 bytes of binary>']) AS shown FROM embeddings""")
+@query(r"""SELECT vec_id, 1 AS record_index, unnest([1, 2, 6, 7, 11, 12, 999]) AS field, unnest(['LEN', 'IDC', 'HLL', 'VLL', 'CGA', 'BPX', 'DATA']) AS code,
+           unnest([false, true, true, true, true, true, false]) AS editable, unnest(['132', '01', '8', '8', 'NONE', '8', '<64 bytes of binary>']) AS shown FROM embeddings
+           UNION ALL SELECT vec_id, 0, unnest([1, 2, 3, 9, 15]), unnest(['LEN', 'VER', 'CNT', 'TCN', 'DCS']), unnest([false, true, false, true, false]),
+           unnest([(63 + strlen(vec_id::VARCHAR))::VARCHAR, '0400', '1\x1f1\x1e14\x1f01', 'vec-' || vec_id, '003\x1fUTF-8']) FROM embeddings""")
 def field_table(spark, sf):
-    return ops.field_table(_vectors(spark, sf, 14)).where("record_index = 1").select(_id("vec_id"), "field", "code", "editable", "shown")
+    return ops.field_table(_vectors(spark, sf, 14)).select(_id("vec_id"), "record_index", "field", "code", "editable", "shown")
+
+
+@query("""SELECT vec_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS field, unnest(['LEN', 'IDC', 'IMP', 'FGP', 'ISR', 'HLL', 'VLL', 'GCA']) AS code,
+          unnest([false, true, true, true, true, true, true, false]) AND vec_id % 2 = 0 AS editable FROM embeddings""")
+def field_table_binary(spark, sf):
+    """Binary headers: the coded algorithm may not be edited, and nothing may in a file with warnings (odd ids have a byte too many)."""
+    files = synth.images(_t(spark, sf, "embeddings"), 4)
+    odd = F.when(F.col("path").cast("long") % 2 == 1, F.concat("content", F.unhex(F.lit("41")))).otherwise(F.col("content"))
+    return ops.field_table(itl.decode(files.withColumn("content", odd))).where("record_index = 1").select(_id("vec_id"), "field", "code", "editable")
+
+
+@query("""SELECT vec_id, unnest([1, 2, 3, 4]) AS record_index, unnest([3, 5, 7, 8]) AS record_type, unnest([1, 2, 3, 4]) AS idc, unnest([82, 82, 69, 20])::BIGINT AS byte_length,
+          unnest(['82|1|0|1 255 255 255 255 255|0|8|8|NONE', '82|2|0|1 255 255 255 255 255|0|8|8|WSQ20', '69|3', '20|4|0|0|1|8|8|NONE']) AS shown FROM embeddings""")
+def legacy_records(spark, sf):
+    """Binary records of Types 3, 5, 7 and 8 in one file."""
+    data = synth.pixels(F.col("embedding"))
+    short = F.substring(data, 1, 8)
+    seven = F.concat(synth.number(F.lit(69), 4), synth.number(F.lit(3), 1), data)
+    eight = F.concat(synth.number(F.lit(20), 4), synth.number(F.lit(4), 1), F.unhex(F.lit("000001")), synth.number(F.lit(8), 2), synth.number(F.lit(8), 2), short)
+    # The payload's leading byte keeps the magic numbers out, so the algorithm comes from the header.
+    plain = F.concat(F.unhex(F.lit("00")), F.substring(data, 2, 63))
+    listed = [(3, 1, synth.binary_image(F.lit(1), F.lit(8), F.lit(8), F.lit(0), plain)), (5, 2, synth.binary_image(F.lit(2), F.lit(8), F.lit(8), F.lit(1), plain)), (7, 3, seven), (8, 4, eight)]
+    files = _t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), synth.transaction("c", listed).alias("content"))
+    r = itl.records(itl.decode(files)).where("record_index > 0")
+    shown = F.array_join(F.transform("fields", lambda f: F.translate(f["value"], "\x1e", " ")), "|")
+    return r.select(_id("vec_id"), "record_index", "record_type", "idc", "byte_length", shown.alias("shown"))
 
 
 @query("SELECT vec_id, true AS replaceable, false AS is_wsq, 64::BIGINT AS raw_bytes FROM embeddings")
@@ -281,10 +321,18 @@ def truncated_warnings(spark, sf):
     return itl.files(found).join(found.select("path", F.size("records").alias("n_records")), "path").select(_id(), "read_only", "n_records")
 
 
-@query("SELECT doc_id, 1 AS record_index, 2 AS declared_type, 3 AS field_types FROM documents WHERE false")
+@query("""SELECT doc_id, 1 AS record_index, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 9 END AS declared_type, CASE WHEN doc_id % 5 = 2 THEN 2 END AS found_type
+          FROM documents WHERE doc_id % 5 < 3 UNION ALL SELECT doc_id, 2, 14, NULL FROM documents WHERE doc_id % 5 = 3""")
 def directory_join(spark, sf):
-    """Positions where directory and records differ: none in sound files."""
-    return ops.directory_mismatch(_documents(spark, sf)).select(_id(), "record_index", "declared_type", F.col("record_type").alias("field_types"))
+    """Positions where directory and records differ: a record cut off, or not of the declared type (neither can be read), a record without an entry, an entry without a record."""
+    k = F.col("doc_id") % 5
+    cnt = F.when(k == 1, "1\x1f1\x1e9\x1f00").when(k == 2, "1\x1f1").when(k == 3, "1\x1f2\x1e2\x1f00\x1e14\x1f00").otherwise("1\x1f1\x1e2\x1f00")
+    first = synth.tagged(1, [(2, "0400"), (3, cnt), (9, "c"), (15, "003\x1fUTF-8")])
+    record = synth.tagged(2, [(2, "00"), (3, F.col("lang"))])
+    content = F.concat(first, F.when(k == 0, F.substring(record, F.lit(1), F.octet_length(record) - 1)).otherwise(record))
+    files = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    found = ops.directory_mismatch(itl.decode(files, images=False, raw=False))
+    return found.select(_id(), "record_index", "declared_type", F.col("record_type").alias("found_type"))
 
 
 @query("SELECT doc_id, 3 AS field, 2::BIGINT AS n FROM documents WHERE doc_id % 6 = 0")
@@ -306,7 +354,7 @@ def _drafts(spark, sf, field=3) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' || chr(30) || 'y' || chr(92) ELSE lang END AS lang FROM documents")
 def draft_upsert(spark, sf):
-    edited = ops.apply_drafts(_documents(spark, sf), _drafts(spark, sf))
+    edited = ops.apply_drafts(_documents(spark, sf, raw=True), _drafts(spark, sf))
     again = itl.decode(itl.encode(edited))
     return itl.fields(again).where("record_type = 2 AND field = 3").select(_id(), F.col("value").alias("lang"))
 
@@ -325,7 +373,7 @@ def orphan_drafts(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Field 77 no longer exists' END AS edit_error, lang FROM documents")
 def draft_failure(spark, sf):
-    edited = ops.apply_drafts(_documents(spark, sf), _drafts(spark, sf).unionByName(_drafts(spark, sf, 77)))
+    edited = ops.apply_drafts(_documents(spark, sf, raw=True), _drafts(spark, sf).unionByName(_drafts(spark, sf, 77)))
     f = itl.fields(edited).where("record_type = 2 AND field = 3").select("path", F.col("value").alias("lang"))
     return edited.select("path", "edit_error").join(f, "path").select(_id(), "edit_error", "lang")
 
@@ -408,13 +456,17 @@ def reflect_index(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", geometry.reflect(F.col("p_partkey") - 100, F.col("p_size")).alias("reflected"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 20 NOT IN (3,4,5,6,8,10,13,14,15,16,17) THEN 'Image resizing is not supported for Type-' || (p_size % 20)
-          WHEN p_partkey % 5 = 0 THEN 'Image dimensions must be greater than zero'
-          WHEN p_partkey % 5 = 1 AND p_size < 128 THEN 'WSQ images require dimensions between 128 and 65535 pixels' END AS problem FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 20 NOT IN (3,4,5,6,8,10,13,14,15,16,17) THEN 'Resizing is not supported for Type-' || (p_size % 20)
+          WHEN p_partkey % 7 = 0 THEN 'Width and height must be greater than zero'
+          WHEN p_partkey % 7 IN (1, 2) AND p_size % 20 IN (5,6,8,10,17) THEN 'This record type cannot store a resized WSQ image'
+          WHEN p_partkey % 7 = 1 THEN 'WSQ resizing supports dimensions from 128 to 65535 pixels; the original image is kept for unsupported sizes'
+          WHEN p_partkey % 7 = 3 AND p_size % 20 < 9 THEN 'Legacy binary records support dimensions of at most 65535 pixels'
+          WHEN p_partkey % 7 = 4 AND p_size % 20 > 8 THEN 'Requested image exceeds the image processing memory limit; choose smaller dimensions'
+          WHEN p_partkey % 7 = 4 THEN 'Legacy binary records support dimensions of at most 65535 pixels' END AS problem FROM part""")
 def resize_check(spark, sf):
-    k = F.col("p_partkey") % 5
-    width = F.when(k == 0, 0).otherwise(F.col("p_size"))
-    return _t(spark, sf, "part").select("p_partkey", geometry.resize_error(F.col("p_size") % 20, width, F.lit(200), k == 1).alias("problem"))
+    width = F.element_at(F.array(*[F.lit(n) for n in (0, 127, 128, 65536, 2_000_000, 300, 65535)]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    wsq_ = (F.col("p_partkey") % 7).isin(1, 2)
+    return _t(spark, sf, "part").select("p_partkey", geometry.resize_error(F.col("p_size") % 20, width, F.lit(200), wsq_).alias("problem"))
 
 
 # ---- binary ---------------------------------------------------------------------------------------------
@@ -449,7 +501,7 @@ def signature_compression(spark, sf):
     )
 
 
-@query("SELECT p_partkey, CASE p_partkey % 12 " + " ".join(f"WHEN {k & 15} THEN '{v}'" for k, v in codes.WSQ_MARKERS.items()) + " END AS marker FROM part")
+@query("SELECT p_partkey, ['SOI', 'EOI', 'SOF', 'SOB', 'DTT', 'DQT', 'DHT', 'DRT', 'COM', NULL, NULL, NULL][p_partkey % 12 + 1] AS marker FROM part")
 def wsq_marker(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", codes.wsq_marker(F.lit(0xFFA0) + F.col("p_partkey") % 12).alias("marker"))
 
@@ -616,6 +668,62 @@ def subband_variance(spark, sf):
     return made.select("key", F.round("variance", 6).alias("variance"))
 
 
+@query("""SELECT n_nationkey AS key, (n_nationkey * 10 + 5)::BIGINT AS lo, (n_nationkey * 10 + 5)::BIGINT AS hi, 128::BIGINT AS width, 130::BIGINT AS height FROM nation""")
+def wsq_flat(spark, sf):
+    """Flat images come back exact."""
+
+    def trip(v: bytes):
+        back = wsq.decode(wsq.encode(v * (128 * 130), 128, 130))
+        return min(back.pixels), max(back.pixels), back.width, back.height
+
+    rows = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), synth.number(F.col("n_nationkey") * 10 + 5, 1).alias("data"))
+    return _kernel(rows, trip, "lo long, hi long, width long, height long")
+
+
+@query(f"""WITH p AS (SELECT vec_id AS key, list_avg({_Q}) AS m, list_min({_Q}) AS lo, list_max({_Q}) AS hi FROM embeddings)
+           SELECT key, round(m * 64)::BIGINT AS shift_64, round(greatest(m - lo, hi - m) * 64)::BIGINT AS scale_8192 FROM p""")
+def wsq_normalise(spark, sf):
+    def measure(p: bytes):
+        _, shift, scale = wsq.normalise(np.frombuffer(p, np.uint8).reshape(8, 8))
+        return round(float(shift) * 64), round(float(scale) * 8192)
+
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), synth.pixels(F.col("embedding")).alias("data"))
+    return _kernel(rows, measure, "shift_64 long, scale_8192 long")
+
+
+@query(f"""WITH v AS (SELECT unnest({_COEF}) * 97 AS v FROM embeddings)
+           SELECT CASE WHEN v > 255 THEN 103 WHEN v > 74 THEN 101 WHEN v < -255 THEN 104 ELSE 102 END AS symbol, abs(v) AS extra, count(*) AS n FROM v WHERE v > 74 OR v < -73 GROUP BY ALL""")
+def escape_symbols(spark, sf):
+    """Levels beyond the literal symbols: escapes of one and two bytes, by sign."""
+
+    def run(batches):
+        for b in batches:
+            made = [t for c in b.column(0).to_pylist() for t in wsq.tokens(np.array(c, np.int64) * 97) if 101 <= t[0] <= 104]
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in made], pa.int64()), pa.array([t[1] for t in made], pa.int64())], ["symbol", "extra"])
+
+    return _coefficients(spark, sf).select("c").mapInArrow(run, "symbol long, extra long").groupBy("symbol", "extra").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH v AS (SELECT key, x * x * 4000 AS var, k FROM (SELECT vec_id AS key, unnest(embedding[1:60])::DOUBLE AS x, unnest(generate_series(0, 59)) AS k FROM embeddings)),
+          r AS (SELECT key, k, var, CASE WHEN k < 4 THEN 1.0 ELSE 10 / (CASE k WHEN 52 THEN 1.32 WHEN 54 THEN 1.42 WHEN 56 THEN 1.32 WHEN 57 THEN 1.42 WHEN 53 THEN 1.08 WHEN 55 THEN 1.08
+                WHEN 58 THEN 1.08 WHEN 59 THEN 1.08 ELSE 1.0 END * ln(var)) END::DOUBLE AS rel, CASE WHEN k < 4 THEN 1 / 1024 WHEN k < 51 THEN 1 / 256 ELSE 1 / 16 END::DOUBLE AS w FROM v WHERE var >= 1.01),
+          f AS (SELECT *, ln(rel / (5 * sqrt(var))) AS f FROM r),
+          c AS (SELECT *, (0.75 * ln(2) + sum(f * w) OVER (PARTITION BY key ORDER BY f, k)) / sum(w) OVER (PARTITION BY key ORDER BY f, k) AS level FROM f),
+          l AS (SELECT key, max_by(level, f) AS level FROM c WHERE level > f GROUP BY key)
+          SELECT key, count(*) AS bands, round(sum(rel * exp(-l.level)), 6) AS steps, round(max(rel * exp(-l.level)), 6) AS widest FROM r JOIN l USING (key) GROUP BY key""")
+def band_steps(spark, sf):
+    """Bit allocation over variances made of the embeddings."""
+
+    def run(batches):
+        for b in batches:
+            steps = [wsq.steps_of(np.array(x[:60], float) ** 2 * 4000, 0.75) for x in b.column(1).to_pylist()]
+            columns = [[int(np.count_nonzero(s)) for s in steps], [round(float(s.sum()), 6) for s in steps], [round(float(s.max()), 6) for s in steps]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64()))]], ["key", "bands", "steps", "widest"])
+
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    return rows.mapInArrow(run, "key long, bands long, steps double, widest double").where("bands > 0")
+
+
 @query()
 def wsq_roundtrip(spark, sf):
     """Embeddings as smooth 128 by 128 images, coded and decoded: size of the stream and mean square error."""

@@ -11,7 +11,9 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -244,15 +246,78 @@ def read_files(spark: SparkSession, path: str, glob: str = EXTENSIONS) -> DataFr
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def decode(files: DataFrame, images: bool = True) -> DataFrame:
-    """Nested transactions of (path, content). With images=False payload bytes are not copied out."""
+#: Files are parsed in slices of about so many bytes.
+SLICE_BYTES = 32 << 20
+
+
+def _column(rows: list[dict], name: str, kind: pa.DataType) -> pa.Array:
+    return pa.array([r.get(name) for r in rows], kind)
+
+
+def _listed(counts: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
+
+
+def _structs(rows: list[dict], kind: pa.StructType, nested: dict[str, pa.Array]) -> pa.Array:
+    columns = [nested[f.name] if f.name in nested else _column(rows, f.name, f.type) for f in kind]
+    return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+
+def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Transactions as an Arrow batch, built column by column."""
+    owned = [row["records"] or [] for row in rows]
+    every = [r for records in owned for r in records]
+    fields = [f for r in every for f in r["fields"]]
+    fields = _listed([len(r["fields"]) for r in every], _structs(fields, _FIELD_TYPE, {}))
+    records_ = _listed([len(records) for records in owned], _structs(every, _RECORD_TYPE, {"fields": fields}))
+    return pa.RecordBatch.from_arrays([records_ if f.name == "records" else _column(rows, f.name, f.type) for f in schema], schema=schema)
+
+
+def _split(values: list, counts: list[int]) -> list[list]:
+    out, at = [], 0
+    for n in counts:
+        out.append(values[at : at + n])
+        at += n
+    return out
+
+
+def records_in(column: pa.ListArray) -> list[list[dict]]:
+    """A column of records as dictionaries, read column by column."""
+
+    def rows(values: pa.StructArray, lists: dict[str, list]) -> list[dict]:
+        names = [f.name for f in values.type]
+        columns = [lists[n] if n in lists else c.to_pylist() for n, c in zip(names, values.flatten())]
+        return [dict(zip(names, row)) for row in zip(*columns)]
+
+    counts = [n or 0 for n in column.value_lengths().to_pylist()]
+    every = column.flatten()
+    own = every.field("fields") if every.offset == 0 else every.flatten()[every.type.get_field_index("fields")]
+    fields = _split(rows(own.flatten(), {}), [n or 0 for n in own.value_lengths().to_pylist()])
+    return _split(rows(every, {"fields": fields}), counts)
+
+
+def sliced(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose values in a binary column have about so many bytes."""
+    sizes = np.cumsum([n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()])
+    at = 0
+    while at < len(batch):
+        before = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def decode(files: DataFrame, images: bool = True, raw: bool = True) -> DataFrame:
+    """Nested transactions of (path, content). With images=False payload bytes, with raw=False the bytes of fields are not copied out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 256):  # images make large rows
-                part = b.slice(at, 256)
+            for part in sliced(b, 1):
                 rows = [{"path": p, **parse(c or b"", images)} for p, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_pylist(rows, _TRANSACTION_TYPE)
+                if not raw:
+                    for f in (f for row in rows for r in row["records"] for f in r["fields"]):
+                        f["raw"] = None
+                yield batch_of(rows, _TRANSACTION_TYPE)
 
     return files.select("path", "content").mapInArrow(run, TRANSACTION)
 
@@ -390,9 +455,9 @@ def encode(transactions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for path, records, warnings in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for path, records, warnings in zip(b.column(0).to_pylist(), records_in(b.column(1)), b.column(2).to_pylist()):
                 try:
-                    rows.append({"path": path, "content": serialise(records or [], warnings)})
+                    rows.append({"path": path, "content": serialise(records, warnings)})
                 except Malformed as e:
                     rows.append({"path": path, "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())]))
@@ -400,6 +465,17 @@ def encode(transactions: DataFrame) -> DataFrame:
     return transactions.select("path", "records", "warnings").mapInArrow(run, "path string, content binary, error string")
 
 
+#: Edits of at most so many files and bytes are broadcast; more of them meet their transactions by shuffle.
+BROADCAST_EDITS, BROADCAST_BYTES = 100_000, 64 << 20
+
+
+def with_edits(transactions: DataFrame, by_path: DataFrame, size) -> DataFrame:
+    """transactions with the column todo of by_path (path, todo), or null. size: a column with the bytes of a row's edits."""
+    n, total = by_path.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    small = n <= BROADCAST_EDITS and total <= BROADCAST_BYTES
+    return transactions.join(F.broadcast(by_path) if small else by_path, "path", "left")
+
+
 def recalculate(transactions: DataFrame) -> DataFrame:
     """Transactions with LEN, CNT and idc brought up to date; those that cannot be saved stay as they are, with `edit_error`."""
     return map_records(transactions, lambda records, warnings, _: serialise(records, warnings))
@@ -408,23 +484,26 @@ def recalculate(transactions: DataFrame) -> DataFrame:
 def map_records(transactions: DataFrame, edit, extra: str | None = None) -> DataFrame:
     """Runs edit(records, warnings, value of the extra column) on each transaction's own copy of its records.
 
-    An edit that raises Malformed leaves the transaction as it was and sets edit_error.
+    With an extra column, transactions that have no value there pass through untouched. An edit that raises Malformed leaves the transaction as it was and sets edit_error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _TRANSACTION_TYPE.append(pa.field("edit_error", pa.string()))
+        plain = [n for n in _TRANSACTION_TYPE.names if n != "records"]
         for b in batches:
-            rows = b.to_pylist()
-            for row in rows:
-                before, value = row["records"], row.pop(extra) if extra else None
-                copy = [{**r, "fields": [dict(f) for f in r["fields"]]} for r in before or []]
-                row["edit_error"] = None
+            rows = [dict(zip(plain, row)) for row in zip(*(b.column(n).to_pylist() for n in plain))]
+            values = b.column(extra).to_pylist() if extra else [None] * len(b)
+            for row, before, value in zip(rows, records_in(b.column("records")), values):
+                row |= {"records": before, "edit_error": None}
+                if extra and value is None:  # nothing to do
+                    continue
+                copy = [{**r, "fields": [dict(f) for f in r["fields"]]} for r in before]
                 try:
                     edit(copy, row["warnings"], value)
                     row["records"] = copy
                 except Malformed as e:
                     row["edit_error"] = str(e)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield batch_of(rows, schema)
 
     columns = [f.name for f in _TRANSACTION_TYPE] + ([extra] if extra else [])
     return transactions.select(*columns).mapInArrow(run, TRANSACTION + ", edit_error string")

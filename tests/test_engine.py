@@ -254,3 +254,77 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_wsq_invalid_codes_are_an_error():
+    stream = bytearray(wsq.encode(np.random.default_rng(1).integers(0, 256, 128 * 128, dtype=np.uint8).tobytes(), 128, 128))
+    block = stream.index(b"\xff\xa3")
+    stream[block + 10 : block + 400] = b"\xff\x00" * 195  # all ones: the code that no symbol has
+    with pytest.raises(wsq.WsqError, match="huffman code too long"):
+        wsq.decode(bytes(stream))
+
+
+def test_band_steps_are_where_dropping_bands_ends():
+    """The level of the water against the plain rule: take the factor for the bands in use, drop those it makes too coarse, again."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        variance = np.exp(rng.uniform(-3, 9, 60))
+        rate = float(rng.uniform(0.05, 2.25))
+        steps = wsq.steps_of(variance, rate)
+        used = [k for k in range(60) if variance[k] >= 1.01]
+        weight = lambda k: {52: 1.32, 53: 1.08, 54: 1.42, 55: 1.08, 56: 1.32, 57: 1.42, 58: 1.08, 59: 1.08}.get(k, 1.0)
+        relative = {k: 1.0 if k < 4 else 10 / (weight(k) * np.log(variance[k])) for k in used}
+        size = lambda k: 1 / 1024 if k < 4 else 1 / 256 if k < 51 else 1 / 16
+        bands = list(used)
+        while True:
+            whole = sum(size(k) for k in bands)
+            mean = sum(size(k) * np.log(np.sqrt(variance[k]) / relative[k]) for k in bands) / whole
+            factor = 2 ** (rate / whole - 1) / 2.5 * np.exp(-mean)
+            left = [k for k in bands if relative[k] / factor < 5 * np.sqrt(variance[k])]
+            if left == bands:
+                break
+            bands = left
+        assert all(steps[k] == pytest.approx(relative[k] / factor, rel=1e-9) for k in used)
+        assert sorted(np.flatnonzero(steps)) == used
+
+
+@pytest.mark.parametrize(("value", "want"), [(0, (0, 0)), (1, (4, 10000)), (6.5535, (3, 6554)), (6.5534, (4, 65534)), (65535, (0, 65535)), (70000, (0, 65535)), (0.1, (5, 10000)), (-2.5, (4, 25000))])
+def test_wire_decimals(value, want):
+    assert wsq.wire_decimal(value, 65535) == want
+
+
+def test_sink_keeps_folders_and_refuses_equal_targets(spark, tmp_path):
+    spark.dataSource.register(sink.AtomicFiles)
+    for folder in ("a", "b"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x y.an2").write_bytes(folder.encode())
+    found = itl.read_files(spark, str(tmp_path / "in"))
+    out = tmp_path / "out"
+    found.write.format("atomic_files").option("path", str(out)).option("root", str(tmp_path / "in")).mode("append").save()
+    assert {f: (out / f / "x y.an2").read_bytes() for f in ("a", "b")} == {"a": b"a", "b": b"b"}
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    (flat / "x y.an2").write_bytes(b"before")
+    with pytest.raises(Exception, match="several rows"):
+        found.write.format("atomic_files").option("path", str(flat)).mode("append").save()
+    assert [p.name for p in flat.iterdir()] == ["x y.an2"] and (flat / "x y.an2").read_bytes() == b"before"
+
+
+def test_batches_of_transactions_round_trip():
+    import pyarrow as pa
+
+    record = lambda n: {"record_index": n, "record_type": 2, "idc": n, "byte_offset": None, "byte_length": 5, "binary_header": b"h" * n, "image_data": None if n else b"", "fields": [{"field": k, "code": "UTF", "value": None if k else "é", "raw": b"x"} for k in range(n)]}
+    rows = [{"path": str(i), "file_size": i, "bytes_read": 1, "charset": None, "warnings": ["w"] * i, "parse_error": None, "records": [record(k) for k in range(i)]} for i in range(5)]
+    batch = itl.batch_of(rows, itl._TRANSACTION_TYPE)
+    assert batch.to_pylist() == rows
+    for at, n in ((0, 5), (2, 2), (4, 1), (1, 0)):
+        assert itl.records_in(batch.slice(at, n).column("records")) == [r["records"] for r in rows[at : at + n]]
+    nulls = pa.RecordBatch.from_pylist([{**rows[2], "records": None}, rows[3]], itl._TRANSACTION_TYPE)
+    assert itl.records_in(nulls.column("records")) == [[], rows[3]["records"]]
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcde")), pa.array([b"x" * 10, None, b"x" * 40, b"", b"x"], pa.binary())], ["path", "content"])
+    assert [s.column(0).to_pylist() for s in itl.sliced(batch, 1, 12)] == [["a", "b"], ["c"], ["d", "e"]]
