@@ -2,15 +2,16 @@
 
 Each language has a smoothed distribution over hashed byte trigrams of lower-cased letters. A document's
 trigrams are modelled as drawn from a mixture of languages; expectation-maximisation estimates the
-proportions. Languages are taken into the set one by one, in the order of their proportions in the full
-mixture, and the set with the least penalised likelihood (two nats and half a log of the trigrams for each
-further language) is kept. The prediction is the language of the largest proportion, the score that
-proportion.
+proportions. Sets are nested: the first k languages in the order of their proportions in the full mixture.
+The set with the least penalised negative log likelihood (two nats and half a log of the trigrams for each
+further language) is kept; sets are tried for as long as the best likelihood seen could pay for one more
+language. The prediction is the language of the largest proportion in the set, the score that proportion.
 
 The distributions are learned from a bounded sample (SAMPLE_ROWS rows, whole texts) of rows with a language
 whose crc32(id as text) modulo 5 is not 0; counts are summed on the executors. The sample is spread over the
 languages: each has an equal share, by hash of the ids, and what a rare one leaves goes to the others. Every
-language that such a row has is learned, from one row at least.
+language that such a row has is learned, from one row at least; of more than MOST_LANGUAGES values (a column
+that holds something else) the most frequent ones are, so the model has SLOTS * MOST_LANGUAGES numbers at most.
 
 Defined results: null text or one without a letter gives `und`, score 0; with nothing to learn from every
 text gives `und`; ties go to the language that comes first by code point; extra columns are ignored.
@@ -29,6 +30,7 @@ from ridgeline.llm.common import crc_mod, table, text_of
 
 SLOTS = 1 << 14
 SAMPLE_ROWS = 6_000
+MOST_LANGUAGES = 400
 SMOOTH = 0.05
 STEPS = 12
 #: Trigrams that one array operation handles.
@@ -71,7 +73,7 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sa
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (F.coalesce(crc_mod("id", 5), F.lit(0)) != 0))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).orderBy("n", "lang").collect()
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()[::-1]
     if not held:
         return [], np.zeros((SLOTS, 0))
     limits, left = [], sample_rows
@@ -111,20 +113,18 @@ def identify(text: str, langs: list[str], probabilities: np.ndarray) -> tuple[st
     counts = np.bincount(slots, minlength=SLOTS)
     seen = np.flatnonzero(counts)
     n, p = counts[seen].astype(float), probabilities[seen]
-    share, _ = mixture(p, n)
+    share, most = mixture(p, n)
     order = np.argsort(-share, kind="stable")
     fee = 2 + 0.5 * np.log(len(slots))
-    alone = n @ np.log(p)
-    first = int(np.argmax(alone))
-    best, chosen, cost = np.ones(1), [first], -alone[first]
-    for k in order:
-        if int(k) in chosen or share[k] < 0.02:
-            continue
-        tried = sorted([*chosen, int(k)])
-        now, likelihood = mixture(p[:, tried], n)
-        if -likelihood + fee * (len(tried) - 1) >= cost:
+    best, chosen, cost = np.ones(1), [int(order[0])], np.inf
+    for k in range(1, len(order) + 1):
+        if -most + fee * (k - 1) >= cost:  # not even the likelihood of all languages would pay for k
             break
-        best, chosen, cost = now, tried, -likelihood + fee * (len(tried) - 1)
+        tried = sorted(order[:k].tolist())
+        now, likelihood = mixture(p[:, tried], n)
+        most = max(most, likelihood)
+        if -likelihood + fee * (k - 1) < cost:
+            best, chosen, cost = now, tried, -likelihood + fee * (k - 1)
     top = int(np.argmax(best))
     return langs[chosen[top]], float(min(1.0, best[top])), ",".join(f"{langs[c]}:{s:.3f}" for c, s in zip(chosen, best))
 

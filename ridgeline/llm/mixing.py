@@ -113,7 +113,9 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, i
     """
     skinny = cut(sized(docs, id_col, text_col, source_col), "mix-sized")
     goals = cut(targets(skinny, weights, share, most), "mix-goals")
-    limits = cut(goals.join(thresholds(skinny, goals), "skey", "left"), "mix-limits")
+    limits = goals.join(thresholds(skinny, goals), "skey", "left")
+    # Where whole copies meet the target nothing is left to take, not even documents without a word.
+    limits = cut(limits.withColumn("below", F.when(F.col("rest") > 0, F.col("below"))), "mix-limits")
     copies = F.col("full") + F.when(F.col("h") < F.coalesce("below", F.lit(0)), 1).otherwise(0)
     return skinny.join(_small(limits, limits), "skey").select(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("int").alias("copies")

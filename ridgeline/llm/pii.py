@@ -91,6 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the field ------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|[^\w\s]|_|\w")
+_BLANK = re.compile(r"\s")
 _SEED = re.compile(r"[0-9@]|[\[({]\s?[aA][tT]\s?[\])}]")
 _CUES = {
     "phone": frozenset("tel phone call mobile fax telefon telefono teléfono téléphone móvil handy cell".split()),
@@ -108,17 +109,23 @@ _REACH = 48
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around seeds, cut at word borders where possible."""
+    """Stretches of text around seeds, widened to white space (or the text's ends) on both sides, in one pass."""
     start = end = -1
     for m in _SEED.finditer(text):
-        a, b = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
-        if start < 0:
-            start, end = a, b
-        elif a <= end:
-            end = b
-        else:
+        b = min(len(text), m.end() + _REACH)
+        if b <= end:
+            continue
+        a = max(0, m.start() - _REACH)
+        while a > max(0, end) and not text[a - 1].isspace():
+            a -= 1
+        blank = _BLANK.search(text, b)
+        b = blank.start() if blank else len(text)
+        if start >= 0 and a > end:
             yield start, end
-            start, end = a, b
+            start = a
+        elif start < 0:
+            start = a
+        end = b
     if start >= 0:
         yield start, end
 

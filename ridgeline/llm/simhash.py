@@ -11,8 +11,10 @@ The codes are dealt evenly, so each table keeps about half of the bits.
 
 Buckets hold distinct fingerprints only (copies are one row from the start). In a bucket no list of pairs
 is made: a search from leader to leader removes what it reaches, and what comes out is a spanning forest.
-Buckets over BUCKET_LIMIT are cut into blocks by hash and each pair of blocks is searched by itself, which
-compares the same pairs in bounded memory. Components over the forests come from distributed
+A bucket over BUCKET_LIMIT is covered again: its fingerprints are equal in the bits its table keeps, so tables
+over the bits that it drops (about half of them each) cover all its pairs, at 31 rows a fingerprint. What they
+leave equal is all but about 15 bits, which bounds a bucket's size whatever the corpus is; one that is still
+over the limit is searched as all pairs of its blocks, of which there are three at most. Components over the forests come from distributed
 large-star/small-star rounds; nothing but counters reaches the driver.
 
 Defined results: null text is empty; a text without a word has fingerprint zero, linked like any other;
@@ -117,23 +119,42 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view("i8")), pa.array(np.concatenate(c).view("i8"))], ["a", "b"])
 
 
+def finer_masks(mask: int) -> list[int]:
+    """Masks of covering tables for fingerprints that are equal in the bits of a mask: those bits and half of the others."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << free[k] for k in range(len(free)) if inner >> k & 1) for inner in masks(bits=len(free))]
+
+
+def _bucket_links(rows: DataFrame, key: list[str], limit: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, fp): edges of the buckets up to the limit, and the larger buckets (key, n)."""
+    # Most buckets hold one fingerprint. Two are compared by what an ordinary aggregate keeps; only buckets of more are gathered.
+    sums = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    sums = cut(sums.where("n > 1"), label)
+    pairs = sums.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS)).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    some = sums.where((F.col("n") > 2) & (F.col("n") <= limit)).select(*key)
+    groups = rows.join(small(some), key).groupBy(*key).agg(F.collect_list("fp").alias("fps"))
+    return pairs.unionByName(groups.select("fps").mapInArrow(_forests, "a long, b long")), sums.where(F.col("n") > limit).select(*key, "n")
+
+
 def links(distinct: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column fp) whose components are those of all links within RADIUS."""
-    keyed = [F.struct(F.lit(n).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("masked")) for n, m in enumerate(masks())]
+    keyed = [F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("masked")) for n, m in enumerate(masks())]
     rows = distinct.select("fp", F.explode(F.array(*keyed)).alias("k")).select("k.t", "k.masked", "fp")
-    # Most buckets hold one fingerprint. Two are compared by what an ordinary aggregate keeps; only buckets of more are gathered.
-    sums = rows.groupBy("t", "masked").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    sums = cut(sums.where("n > 1"), "simhash-buckets")
-    found = sums.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS)).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-    sums = sums.where("n > 2").select("t", "masked", "n")
-    if sums.isEmpty():
+    found, large = _bucket_links(rows, ["t", "masked"], limit, "simhash-buckets")
+    if large.isEmpty():
+        return found.distinct()
+    finer = F.array(*[F.array(*[F.lit(_signed(f)) for f in finer_masks(m)]) for m in masks()])
+    again = rows.join(small(large), ["t", "masked"]).select("t", "fp", F.posexplode(F.get(finer, F.col("t"))).alias("u", "mask"))
+    again = again.select("t", "u", F.col("fp").bitwiseAND(F.col("mask")).alias("masked"), "fp")
+    more, large = _bucket_links(again, ["t", "u", "masked"], limit, "simhash-finer")
+    found = found.unionByName(more)
+    if large.isEmpty():
         return found.distinct()
-    # One piece up to the limit; else pieces by hash, and a group for each pair of pieces.
     parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    dealt = rows.join(sums.withColumn("parts", parts), ["t", "masked"]).withColumn("own", own)
-    groups = dealt.select("t", "masked", F.explode(pairs).alias("p"), "fp").groupBy("t", "masked", "p").agg(F.collect_list("fp").alias("fps"))
+    dealt = again.join(small(large).withColumn("parts", parts), ["t", "u", "masked"]).withColumn("own", own)
+    groups = dealt.select("t", "u", "masked", F.explode(pairs).alias("p"), "fp").groupBy("t", "u", "masked", "p").agg(F.collect_list("fp").alias("fps"))
     return found.unionByName(groups.select("fps").mapInArrow(_forests, "a long, b long")).distinct()
 
 

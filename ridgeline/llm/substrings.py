@@ -21,10 +21,13 @@ Scale. Entries travel as packed arrays, one row a batch and bucket; equal phrase
 before. The number of buckets follows the input. A trigger with very many entries is dealt by suffix
 fingerprint over several groups (SALT_ENTRIES), so no group is without bound.
 
+Rows. A row is known by its id and, where the id is null or repeats, by a hash of its text (`tie`, else 0),
+in all joins and in the order.
+
 Text counts as UTF-8 bytes. Defined results: null text is empty; texts under 100 bytes lose nothing; a null
-doc_id comes last in the order; rows that repeat a doc_id with the same text do not count as earlier than
-each other and get the same result (with different texts, the result of both is that of their joint
-ranges); empty tables give no rows; extra columns are ignored.
+doc_id comes last in the order; rows of one id (or without one) but with different texts are ordered by a hash
+of the text, and each is judged by its own bytes; rows of the same id and text are one document: none is
+earlier than the other, and all get its result; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import cut, table, text_of
+from ridgeline.llm.common import cut, small, table, text_of
 
 WINDOW = 100
 GRAM = 32
@@ -47,7 +50,7 @@ REACH = WINDOW - GRAM + 1
 #: Bytes that are parsed at once; a longer text is parsed in pieces that overlap by WINDOW - 1.
 PIECE = 1 << 18
 #: About so many phrases, and ambiguous entries, to a bucket.
-PHRASES = 250_000
+PHRASES = 60_000
 ENTRIES = 20_000
 #: A batch sends at most so many entries of one trigger to the trigger's bucket; further ones go by phrase.
 BATCH_ENTRIES = 256
@@ -152,7 +155,7 @@ def _grouped(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield group
 
 
-_FIELDS = (("trigger", "u8"), ("phrase", "u8"), ("doc", "i8"), ("start", "i8"), ("more", "u1"), ("off", "u1"))
+_FIELDS = (("trigger", "u8"), ("phrase", "u8"), ("doc", "i8"), ("tie", "i8"), ("start", "i8"), ("more", "u1"), ("off", "u1"))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -181,58 +184,77 @@ def _unpack(payloads: list[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.empty(0, kind) for c, kind in zip(out, kinds)]
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _turns(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before in any of the columns; the first one does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _runs(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of window starts, [start, start + more], joined where they touch."""
     if not len(doc):
-        return doc, start, more
-    order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order], (start + more)[order]
-    # Stops of another document must not reach over: restart the running maximum by document.
-    place = np.cumsum(np.concatenate(([0], (np.diff(doc) != 0).astype(np.int64))))
+        return doc, tie, start, more
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start, stop = doc[order], tie[order], start[order], (start + more)[order]
+    # Stops of another row must not reach over: restart the running maximum by row.
+    turns = _turns(doc, tie)
+    place = np.cumsum(turns)
     reach = np.maximum.accumulate(stop + place * (1 << 40)) - place * (1 << 40)
-    new = np.concatenate(([True], (np.diff(doc) != 0) | (start[1:] > reach[:-1] + 1)))
+    new = turns.copy()
+    new[1:] |= start[1:] > reach[:-1] + 1
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(doc)])) - 1
-    return doc[first], start[first], reach[last] - start[first]
+    return doc[first], tie[first], start[first], reach[last] - start[first]
+
+
+def _entries_of(f: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Phrases in the order of (trigger, phrase, place); which are the first of their entry; which others start elsewhere than that."""
+    order = np.lexsort((f["start"], f["tie"], f["doc"], f["phrase"], f["trigger"]))
+    f = {k: v[order] for k, v in f.items()}
+    new = _turns(f["trigger"], f["phrase"])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return f, new, (f["doc"] != f["doc"][first]) | (f["tie"] != f["tie"][first]) | (f["start"] != f["start"][first])
 
 
 def _parser(buckets: int):
-    """Arrow batches (doc_id, text) to rows (bucket, kind, payload): entries by trigger (0), markers of crowded triggers (1), ranges known to repeat (2), entries by phrase (3)."""
+    """Arrow batches (doc_id, tie, text) to rows (bucket, kind, payload): entries by trigger (0), markers of crowded triggers (1), ranges known to repeat (2), entries by phrase (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.array([LAST if v is None else v for v in b.column(0).to_pylist()], np.int64)
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            ids, ties = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
             parts = [parse(g) for g in _grouped(texts)]
             del texts
             if not parts:
                 continue
-            f = {k: np.concatenate([p[k] for p in parts]) for k, _ in _FIELDS}
+            f = {k: np.concatenate([p[k] for p in parts]) for k, _ in _FIELDS if k != "tie"}
+            f["tie"] = ties[f["doc"]]
             f["doc"] = ids[f["doc"]]
-            order = np.lexsort((f["start"], f["doc"], f["phrase"], f["trigger"]))
-            f = {k: v[order] for k, v in f.items()}
-            new = np.concatenate(([True], (np.diff(f["trigger"]) != 0) | (np.diff(f["phrase"]) != 0)))
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            again = (f["doc"] != f["doc"][first]) | (f["start"] != f["start"][first])
+            if not len(f["doc"]):
+                continue
+            f, new, again = _entries_of(f)
             rows: list[tuple[int, int, bytes]] = []
-            doc, start, more = _runs(f["doc"][again], f["start"][again], f["more"][again].astype(np.int64))
-            to = (doc % buckets).astype(np.int64)
-            for k in np.unique(to):
-                rows.append((int(k), 2, _pack([doc[to == k], start[to == k], more[to == k]])))
+            known = _runs(f["doc"][again], f["tie"][again], f["start"][again], f["more"][again].astype(np.int64))
+            to = (known[0] % buckets).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+                rows.append((int(to[own[0]]), 2, _pack([c[own] for c in known])))
             f = {k: v[new] for k, v in f.items()}
-            head = np.concatenate(([True], np.diff(f["trigger"]) != 0))
+            head = _turns(f["trigger"])
             heads = np.flatnonzero(head)
             rank = np.arange(len(head)) - heads[np.cumsum(head) - 1]
             crowded = rank >= BATCH_ENTRIES
             key = np.where(crowded, f["phrase"], f["trigger"]) % np.uint64(buckets)
-            marked = np.unique(f["trigger"][crowded])
-            for k in np.unique(marked % np.uint64(buckets)):
-                rows.append((int(k), 1, _pack([marked[marked % np.uint64(buckets) == k]])))
+            for t in np.unique(f["trigger"][crowded]):  # few: each has more than BATCH_ENTRIES entries here
+                rows.append((int(t % np.uint64(buckets)), 1, _pack([np.array([t])])))
             place = np.lexsort((np.arange(len(key)), key, crowded))
             border = np.flatnonzero(np.concatenate(([True], (np.diff(key[place].astype(np.int64)) != 0) | (np.diff(crowded[place].astype(np.int8)) != 0), [True]))) if len(key) else []
             for x, y in zip(border[:-1], border[1:]):
                 own = place[x:y]
-                rows.append((int(key[own[0]]), 3 if crowded[own[0]] else 0, _pack([f[k][own] for k, _ in _FIELDS])))
+                rows.append((int(key[own[0]]), 3 if crowded[own[0]] else 0, _pack([f[k][own].astype(t, copy=False) for k, t in _FIELDS])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"]
             )
@@ -240,14 +262,14 @@ def _parser(buckets: int):
     return run
 
 
-_FOUND = "doc_id long, start long, more long, off int, salts int"
+_FOUND = "doc_id long, tie long, start long, more long, off int, salts int"
 
 
-def _found(doc, start, more, off=None, salts=None) -> pa.Table:
+def _found(doc, tie, start, more, off=None, salts=None) -> pa.Table:
     n = len(doc)
     return pa.table(
         {
-            "doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "more": pa.array(np.asarray(more, np.int64)),
+            "doc_id": pa.array(doc, pa.int64()), "tie": pa.array(tie, pa.int64()), "start": pa.array(start, pa.int64()), "more": pa.array(np.asarray(more, np.int64)),
             "off": pa.array(np.full(n, -1) if off is None else off.astype(np.int32), pa.int32()), "salts": pa.array(np.zeros(n) if salts is None else salts, pa.int32()),
         }
     )
@@ -261,32 +283,28 @@ def _entries(t: pa.Table, crowd: int) -> pa.Table:
     """A bucket's rows to ranges that repeat (salts 0) and ambiguous entries (salts: the number of groups their trigger is dealt to)."""
     kinds, payloads = t.column("kind").to_numpy(), t.column("payload").to_pylist()
     of = lambda *k: [p for p, q in zip(payloads, kinds) if q in k]
-    known = _unpack(of(2), ["i8", "i8", "i8"])
+    known = _unpack(of(2), ["i8"] * 4)
     marked = np.unique(_unpack(of(1), ["u8"])[0])
     plain, dealt = of(0), of(3)
     width = sum(np.dtype(x).itemsize for _, x in _FIELDS)
     f = dict(zip([k for k, _ in _FIELDS], _unpack(plain + dealt, [x for _, x in _FIELDS])))
     by_phrase = np.arange(len(f["doc"])) >= sum(len(p) for p in plain) // width
-    order = np.lexsort((f["start"], f["doc"], f["phrase"], f["trigger"]))
-    f, by_phrase = {k: v[order] for k, v in f.items()}, by_phrase[order]
-    if not len(order):
+    if not len(by_phrase):
         return _found(*known)
-    new = np.concatenate(([True], (np.diff(f["trigger"]) != 0) | (np.diff(f["phrase"]) != 0)))
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = (f["doc"] != f["doc"][first]) | (f["start"] != f["start"][first])
-    head = np.concatenate(([True], np.diff(f["trigger"]) != 0))
-    group = np.cumsum(head) - 1
+    f, new, again = _entries_of(f | {"by_phrase": by_phrase})
+    by_phrase = f["by_phrase"]
+    group = np.cumsum(_turns(f["trigger"])) - 1
     entries = np.bincount(group, weights=new).astype(np.int64)[group]
     ambiguous = new & ((entries > 1) | by_phrase | np.isin(f["trigger"], marked))
     # Crowded triggers have entries that this bucket does not see: theirs are dealt to a number of groups that all buckets know.
     salts = np.where(by_phrase | np.isin(f["trigger"], marked), crowd, -(-entries // SALT_ENTRIES))
-    doc, start, more = _runs(np.concatenate((known[0], f["doc"][again])), np.concatenate((known[1], f["start"][again])), np.concatenate((known[2], f["more"][again].astype(np.int64))))
+    repeated = _runs(*(np.concatenate((k, f[c][again].astype(np.int64))) for k, c in zip(known, ("doc", "tie", "start", "more"))))
     a = ambiguous
-    return pa.concat_tables([_found(doc, start, more), _found(f["doc"][a], f["start"][a], f["more"][a], f["off"][a], salts[a])])
+    return pa.concat_tables([_found(*repeated), _found(f["doc"][a], f["tie"][a], f["start"][a], f["more"][a], f["off"][a], salts[a])])
 
 
 def _shipper(buckets: int):
-    """(doc_id, text, entries) to rows (bucket, payload): the bytes of ambiguous entries, by trigger and group."""
+    """(doc_id, tie, text, entries) to rows (bucket, payload): the bytes of ambiguous entries, by trigger and group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,18 +316,16 @@ def _shipper(buckets: int):
 
 def _shipped(b: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     out: dict[int, tuple[list, list[bytes]]] = {}
-    for doc, text, entries in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+    for doc, tie, text, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
         data = text.as_py().encode("utf-8", "surrogatepass")
         e = entries.values
         for start, more, off, salts in zip(*[e.field(k).to_pylist() for k in ("start", "more", "off", "salts")]):
             phrase = data[start : start + more + WINDOW]
-            if len(phrase) < WINDOW:  # a repeated id with another text
-                continue
             trigger = int.from_bytes(hashlib.blake2b(phrase[off : off + GRAM], digest_size=7).digest(), "big")
             groups = [0] if salts == 1 else sorted({int(h) for h in _window_hashes(phrase) % np.uint64(salts)})
             for g in groups:
                 rows, texts = out.setdefault((trigger + g * 7919) % buckets, ([], []))
-                rows.append((doc, start, len(phrase), salts, g))
+                rows.append((doc, tie, start, len(phrase), salts, g))
                 texts.append(phrase)
     payloads = [np.array(rows, np.int64).tobytes() for rows, _ in out.values()]
     return pa.RecordBatch.from_arrays(
@@ -323,34 +339,35 @@ def _window_hashes(phrase: bytes) -> np.ndarray:
 
 def _suffix_order(t: pa.Table) -> pa.Table:
     """Ambiguous entries of a bucket to windows that start earlier in another entry."""
-    rows = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 5) for r in t.column("rows").to_pylist()])
+    rows = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 6) for r in t.column("rows").to_pylist()])
     data = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8)
     if not len(rows):
-        return _found(*np.empty((3, 0), np.int64))
-    begins = np.concatenate(([0], np.cumsum(rows[:, 2])[:-1]))
-    windows = rows[:, 2] - WINDOW + 1
+        return _found(*np.empty((4, 0), np.int64))
+    doc, tie, start, size, salts, salt = rows.T
+    begins = np.concatenate(([0], np.cumsum(size)[:-1]))
+    windows = size - WINDOW + 1
     entry = np.repeat(np.arange(len(rows)), windows)
     inner = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = begins[entry] + inner
     prints = np.concatenate([Rolling(data[a:b]).grams(WINDOW) for a, b in _slices(len(data))])[at]
-    own = (rows[entry, 3] == 1) | (prints % np.maximum(rows[entry, 3], 1).astype(np.uint64) == rows[entry, 4].astype(np.uint64))
+    own = (salts[entry] == 1) | (prints % np.maximum(salts[entry], 1).astype(np.uint64) == salt[entry].astype(np.uint64))
     at, entry, inner, prints = at[own], entry[own], inner[own], prints[own]
     order = np.argsort(prints, kind="stable")
     same = np.diff(prints[order]) == 0
     twice = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
     if not len(twice):
-        return _found(*np.empty((3, 0), np.int64))
-    at, doc, start = at[twice], rows[entry[twice], 0], rows[entry[twice], 1] + inner[twice]
+        return _found(*np.empty((4, 0), np.int64))
+    at, doc, tie, start = at[twice], doc[entry[twice]], tie[entry[twice]], start[entry[twice]] + inner[twice]
     # The suffix array of what is left, to a depth of WINDOW bytes: big-endian words compare as bytes do.
     suffixes = np.zeros((len(at), 104), np.uint8)
     suffixes[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at]
     words = suffixes.view(">u8").astype(np.uint64)
-    order = np.lexsort((start, doc, *words.T[::-1]))
+    order = np.lexsort((start, tie, doc, *words.T[::-1]))
     differs = np.concatenate(([True], (words[order][1:] != words[order][:-1]).any(axis=1)))
     first = order[np.flatnonzero(differs)[np.cumsum(differs) - 1]]
-    again = (doc[order] != doc[first]) | (start[order] != start[first])
-    doc, start, more = _runs(doc[order][again], start[order][again], np.zeros(int(again.sum()), np.int64))
-    return _found(doc, start, more)
+    again = (doc[order] != doc[first]) | (tie[order] != tie[first]) | (start[order] != start[first])
+    left = order[again]
+    return _found(*_runs(doc[left], tie[left], start[left], np.zeros(len(left), np.int64)))
 
 
 def _slices(n: int) -> Iterator[tuple[int, int]]:
@@ -392,21 +409,35 @@ def remove(data: bytes, ranges) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (LAST for null), tie, text: the two that know a row, and its text."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    source = docs.select(own.alias("doc_id"), text_of(text_col).alias("text"))
+    many = cut(source.where(F.col("doc_id") != LAST).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("many")), "substring-repeated")
+    if not many.isEmpty():
+        source = source.join(small(many), "doc_id", "left")
+    else:
+        source = source.withColumn("many", F.lit(False))
+    tie = F.when(F.coalesce("many", F.lit(False)) | (F.col("doc_id") == LAST), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return source.select("doc_id", tie.alias("tie"), "text")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes) for every row."""
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), text_of(text_col).alias("text"))
+    source = _placed(docs, id_col, text_col)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(1, round(size * 2 / (REACH + 1) / PHRASES))
-    parsed = source.mapInArrow(_parser(buckets), "bucket int, kind int, payload binary")
+    parsed = source.mapInArrow(_parser(buckets), "bucket int, kind int, payload binary").repartition(max(1, buckets // 3), "bucket")
     found = cut(parsed.groupBy("bucket").applyInArrow(_dictionary(64 + buckets), _FOUND), "substring-ranges")
     n = found.where("salts > 0").count()
     parts = max(1, round(n / ENTRIES))
-    entries = found.where("salts > 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "more", "off", "salts")).alias("entries"))
-    shipped = source.join(entries, "doc_id").select("doc_id", "text", "entries").mapInArrow(_shipper(parts), "bucket int, rows binary, bytes binary")
-    hidden = shipped.groupBy("bucket").applyInArrow(_suffix_order, _FOUND)
-    every = found.where("salts = 0").select("doc_id", "start", "more").unionByName(hidden.select("doc_id", "start", "more"))
-    ranges = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "more")).alias("ranges"))
-    return source.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
+    row = ["doc_id", "tie"]
+    entries = found.where("salts > 0").groupBy(*row).agg(F.collect_list(F.struct("start", "more", "off", "salts")).alias("entries"))
+    shipped = source.join(entries, row).select(*row, "text", "entries").mapInArrow(_shipper(parts), "bucket int, rows binary, bytes binary")
+    hidden = shipped.repartition(max(1, parts // 3), "bucket").groupBy("bucket").applyInArrow(_suffix_order, _FOUND)
+    every = found.where("salts = 0").select(*row, "start", "more").unionByName(hidden.select(*row, "start", "more"))
+    ranges = every.groupBy(*row).agg(F.collect_list(F.struct("start", "more")).alias("ranges"))
+    return source.join(ranges, row, "left").select("doc_id", "text", "ranges").mapInArrow(
         _remover(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
     )
 

@@ -257,9 +257,44 @@ def test_substring_removal_edges(spark):
     assert crowded["start"].tolist() == sorted(crowded["start"].tolist())
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_judged_by_their_own_bytes(spark):
+    rng = random.Random(12)
+    passages = [prose(rng, 30) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        text = " ".join([prose(rng, rng.randint(5, 60)), rng.choice(passages), prose(rng, rng.randint(0, 30))])
+        rows.append((rng.choice([None, None, 1, 5, 5, 7, 100 + i]), text))
+    rows += [(None, prose(rng, 100)), (5, prose(rng, 100)), (5, rows[3][1]), rows[0], rows[1], (None, None), (5, ""), (None, rows[0][1])]
+    ids = [r[0] for r in rows]
+
+    def place(row):
+        i, t = row
+        tie = xxhash.xxh64((t or "").encode(), 42).intdigest()
+        tie -= (tie >> 63) << 64
+        return (1 << 63) - 1 if i is None else i, tie if i is None or ids.count(i) > 1 else 0
+
+    want = plain_removal([(place(r), r[1]) for r in set(rows)])
+    got = substrings.deduplicated(frame(spark, [r[1] for r in rows], ids)).collect()
+    key = lambda i, values: (i is None, i or 0, values)
+    assert sorted(key(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted(key(r[0], want[place(r)]) for r in rows)
+    unique = [r for r in got if r.n_bytes and r.n_removed == 0]
+    assert len(unique) >= 3
+
+
+def test_long_texts_are_parsed_in_pieces_that_meet(spark):
+    rng = random.Random(13)
+    border = substrings.PIECE
+    long = prose(rng, 1)
+    while len(long) < border + 5000:
+        long += " " + prose(rng, 2000)
+    texts = [long, prose(rng, 40) + long[border - 130 : border + 170] + prose(rng, 10), long[:150] + long[border - 5 : border + 95]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicated(frame(spark, texts)).collect()}
+    assert got == plain_removal(list(enumerate(texts))) and got[1][1] >= 300 and got[2][1] >= 250
+
+
 def test_entries_of_a_crowded_trigger_are_all_ambiguous():
     n = 300
-    fields = [np.full(n, 5, "u8"), np.arange(n).astype("u8"), np.arange(n), np.zeros(n, "i8"), np.zeros(n, "u1"), np.zeros(n, "u1")]
+    fields = [np.full(n, 5, "u8"), np.arange(n).astype("u8"), np.arange(n), np.zeros(n, "i8"), np.zeros(n, "i8"), np.zeros(n, "u1"), np.zeros(n, "u1")]
     import pyarrow as pa
 
     t = pa.table({"bucket": [0, 0], "kind": [3, 1], "payload": [substrings._pack(fields), substrings._pack([np.array([5], "u8")])]})
