@@ -45,6 +45,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder, which goes as those of cut() do."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _cuts.append((spark, path))
+    return path
+
+
 def release(since: int = 0) -> None:
     """Removes the folders that cut() made after the first `since` ones; nothing may read them any more."""
     while len(_cuts) > since:

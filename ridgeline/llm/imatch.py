@@ -2,9 +2,11 @@
 
 Terms are lower-cased runs of letters and digits. A term belongs to the lexicon if its document
 frequency lies in a band: too frequent terms say nothing, terms below the band change with every typo.
-Document frequencies are counted over all documents in 2**20 hash slots, so the table that reaches every
-task is one bitmap of fixed size (128 KB) however large the corpus is; a slot also counts the rare terms
-that fall into it by chance, about (terms per document) / 2**20 of all documents, which is below the band.
+Document frequencies are counted over all documents in hash slots, so the table that reaches every task is one
+bitmap however large the corpus is. A slot also counts the rare terms that fall into it by chance, about
+(terms per document) / slots of all documents; so the number of slots follows the mean length of the texts and
+keeps that below the band (slot_bits). MOST_SLOT_BITS bounds the bitmap (2 MB), which is enough up to a mean of
+33,000 characters a text; for longer ones rare terms enter the lexicon, and fingerprints change with more edits.
 
 A randomised lexicon keeps each term of the band by its hash, at one of four rates (1/32 to 1/2048), twelve
 lexicons a rate. For each one the distinct kept terms are sorted and hashed. The fingerprint is the 48
@@ -20,20 +22,24 @@ is itself. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ridgeline.llm.common import cut, table, text_of
 
-SLOT_BITS = 20
+LEAST_SLOT_BITS, MOST_SLOT_BITS = 20, 24
 RATES = (32, 128, 512, 2048)
 PER_RATE = 12
 #: A term is in the lexicon if the share of documents in its slot lies in this band.
 BAND = (0.0004, 0.02)
-#: Ids that agree but for so many low bits share a block in which the next document is found.
-BLOCK_BITS = 14
+#: About so many documents share a range of ids in which the next document is found.
+RANGE_ROWS = 1 << 15
 LEAST_LEXICONS = 4
+#: A text has a distinct term in about so many characters, or fewer.
+CHARS_A_TERM = 10
 
 
 def term_hashes(text: Column) -> Column:
@@ -42,36 +48,46 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+def _slot(h: Column, bits: int) -> Column:
+    return h.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def slot_bits(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> int:
+    """Bits of a slot's number: chance puts a text with a term every CHARS_A_TERM characters into half the band's floor of all slots."""
+    mean = docs.agg(F.coalesce(F.avg(F.char_length(text_of(text_col))), F.lit(0.0))).first()[0]
+    wanted = 2 * mean / CHARS_A_TERM / band[0]
+    return min(MOST_SLOT_BITS, max(LEAST_SLOT_BITS, math.ceil(math.log2(max(1.0, wanted)))))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> Column:
-    """The bitmap of in-band slots, 2**14 longs, as a scalar subquery.
+def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> tuple[Column, int]:
+    """The bitmap of in-band slots, as a scalar subquery of longs, and the bits of a slot's number.
 
     Below the band are also terms of fewer than two documents, which cannot link any.
     """
-    slots = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(text_of(text_col)), _slot))).alias("slot"))
+    bits = slot_bits(docs, text_col, band)
+    slots = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(text_of(text_col)), lambda h: _slot(h, bits)))).alias("slot"))
     df = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = df.where((F.col("df") >= 2) & (F.col("df") >= F.lit(band[0]) * n.scalar()) & (F.col("df") <= F.greatest(F.lit(band[1]) * n.scalar(), F.lit(2))))
     words = df.groupBy(F.shiftright("slot", 6).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     )
-    every = docs.sparkSession.range(1 << (SLOT_BITS - 6)).select(F.col("id").cast("int").alias("w"))
+    every = docs.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("w"))
     packed = every.join(cut(words, "imatch-lexicon"), "w", "left").select(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
-    packed = packed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bits"]).alias("bits"))  # 2**14 longs
-    return cut(packed, "imatch-bitmap").scalar()
+    packed = packed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bits"]).alias("bits"))  # 2**(bits - 6) longs
+    return cut(packed, "imatch-bitmap").scalar(), bits
 
 
-def fingerprint(text: Column, bitmap: Column) -> Column:
+def in_band(text: Column, bitmap: Column, bits: int) -> Column:
+    """The sorted hashes of a text's terms that are in the lexicon."""
+    held = lambda h: F.call_function("getbit", F.get(bitmap, F.shiftright(_slot(h, bits), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return F.array_sort(F.filter(term_hashes(text), held))
+
+
+def fingerprint(text: Column, bitmap: Column, bits: int) -> Column:
     """The 48 lexicon hashes of a text as one string of hex digits."""
-    in_band = F.filter(
-        term_hashes(text),
-        lambda h: F.call_function("getbit", F.get(bitmap, F.shiftright(_slot(h), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1,
-    )
     whole = F.concat(F.lit("="), F.hex(F.xxhash64(text)))
-    return _let(F.array_sort(in_band), lambda kept: F.when(F.size(kept) == 0, whole).otherwise(_from_rate(kept, 0)))
+    return _let(in_band(text, bitmap, bits), lambda kept: F.when(F.size(kept) == 0, whole).otherwise(_from_rate(kept, 0)))
 
 
 def _let(value: Column, use) -> Column:
@@ -83,7 +99,7 @@ def _from_rate(terms: Column, n: int) -> Column:
     """Hashes of the lexicons at rate n and finer. The lexicons at a finer rate are inside those before, so each filter reads what the last one kept."""
     if n == len(RATES):
         return F.lit("")
-    cell = lambda h: F.shiftrightunsigned(h, SLOT_BITS).bitwiseAND(F.lit(RATES[n] - 1))
+    cell = lambda h: F.shiftrightunsigned(h, MOST_SLOT_BITS).bitwiseAND(F.lit(RATES[n] - 1))
     digits = lambda own: F.when(F.size(own) == 0, F.lit("------")).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFF)))), 6, "0"))
     each = lambda some: F.concat(*[_let(F.filter(some, lambda h: cell(h) == F.lit(j)), digits) for j in range(PER_RATE)])  # noqa: E731, B023
     return _let(F.filter(terms, lambda h: cell(h) < PER_RATE), lambda some: F.concat(each(some), _from_rate(some, n + 1)))
@@ -108,18 +124,21 @@ def _best(state: Column) -> Column:
 
 
 def next_ids(keys: DataFrame) -> DataFrame:
-    """keys: doc_id, key, k. Returns key, k, next_key: the next document in descending doc_id (after the last: the first).
+    """keys: doc_id, key, k, a row a key. Returns key, k, next_key: the next document in descending doc_id (after the last: the first).
 
-    Inside blocks of near ids by a window; across blocks by a window over one row a block.
+    Keys are dealt by ranges of (doc_id, key), whatever the ids are, and written with the number of their range.
+    Inside ranges the next one comes from a window; the last of a range gets the first of the next range, from a
+    window over one row a range.
     """
-    keys = keys.withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62))))
-    down = [F.col("doc_id").desc(), F.col("key").desc()]
-    inside = keys.withColumn("next_key", F.lead("key").over(Window.partitionBy("block").orderBy(*down)))
-    tops = keys.groupBy("block").agg(F.max_by("key", F.struct("doc_id", "key")).alias("top"))
-    order = Window.orderBy(F.col("block").desc())
+    down = [F.col("doc_id").desc_nulls_last(), F.col("key").desc()]
+    ranges = max(1, -(-keys.count() // RANGE_ROWS))
+    dealt = cut(keys.repartitionByRange(ranges, *down).withColumn("range", F.spark_partition_id()), "imatch-ranges")
+    inside = dealt.withColumn("next_key", F.lead("key").over(Window.partitionBy("range").orderBy(*down)))
+    tops = dealt.groupBy("range").agg(F.max_by("key", F.struct(F.col("doc_id").isNotNull(), "doc_id", "key")).alias("top"))
+    order = Window.orderBy("range")
     first = F.first("top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = tops.withColumn("below", F.coalesce(F.lead("top").over(order), first)).select("block", "below")
-    return inside.join(tops, "block").select("key", "k", F.coalesce("next_key", "below").alias("next_key"))
+    tops = tops.withColumn("below", F.coalesce(F.lead("top").over(order), first)).select("range", "below")
+    return inside.join(F.broadcast(tops), "range").select("key", "k", F.coalesce("next_key", "below").alias("next_key"))
 
 
 def edited_pairs(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -131,11 +150,10 @@ def edited_pairs(docs: DataFrame) -> tuple[DataFrame, bool]:
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.xxhash64(text).cast("string"))
     texts = docs.select(key.alias("key"), text.alias("text"))
     keys = cut(docs.select("doc_id", key.alias("key"), F.floor(F.char_length(text) / 3).cast("int").alias("k")), "imatch-keys")
-    links = cut(next_ids(keys), "imatch-next")
-    once = texts
-    repeated = not links.groupBy("key").count().where("count > 1").isEmpty()
-    if repeated:
-        once, links = texts.dropDuplicates(["key"]), links.groupBy("key").agg(F.first("k").alias("k"), F.min("next_key").alias("next_key"))
+    alone = cut(keys.dropDuplicates(["key"]), "imatch-alone")
+    repeated = alone.count() < keys.count()
+    links = cut(next_ids(alone), "imatch-next")
+    once = texts.dropDuplicates(["key"]) if repeated else texts
     starts = links.join(once.select(F.col("key").alias("next_key"), F.col("text").alias("t")), "next_key")
     starts = starts.select("key", "next_key", "k", F.col("t").substr(F.lit(1), F.col("k")).alias("start"))
     kept = F.col("text").substr(F.lit(1), F.char_length("text") - F.col("k"))
@@ -145,12 +163,12 @@ def edited_pairs(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def op8_imatch(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bitmap = lexicon(docs)
+    bitmap, bits = lexicon(docs)
     pairs, repeated = edited_pairs(docs)
     prints = pairs.withColumn("bits", bitmap).select(
         "doc_id", "key", "next_key", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), F.col("bits")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("bits")).alias("edited_fingerprint"),
+        fingerprint(F.col("text"), F.col("bits"), bits).alias("fingerprint"), fingerprint(F.col("edited"), F.col("bits"), bits).alias("edited_fingerprint"),
     )
     prints = cut(prints, "imatch-prints")
     after = prints.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))

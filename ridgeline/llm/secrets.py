@@ -5,6 +5,10 @@ Every version of every path is addressed by the SHA-256 of its content. The ledg
 unseen blob is read once, from one representative version, however many paths or versions share it,
 and findings are joined back to every version with that content.
 
+The ledger is a Parquet table that runs append to (Ledger): rows of one run become visible together, when its
+write commits, and a run that dies leaves the ledger as it was. Two runs at once may scan a blob twice; their
+rows are equal, and reading drops the second.
+
 Match offsets come from splitting the text by a rule's pattern: a match starts after all earlier pieces
 and matches, so a running sum of their lengths gives code-point offsets without leaving the JVM.
 
@@ -16,11 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.llm.common import cut, table, text_of
+from ridgeline.llm.common import cut, scratch, table, text_of
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,7 @@ def unseen(paths: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame
     if ledger is None:
         return blobs.withColumn("todo", F.array(*[F.lit(r.kind) for r in rules]))
     pairs = blobs.withColumn("r", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])))
-    pairs = pairs.select("blob", "rep", "r.kind", "r.version").join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
+    pairs = pairs.select("blob", "rep", "r.kind", "r.version").join(ledger.select("blob", "kind", "version").distinct(), ["blob", "kind", "version"], "left_anti")
     return pairs.groupBy("blob", "rep").agg(F.collect_set("kind").alias("todo"))
 
 
@@ -92,35 +96,60 @@ def find(texts: DataFrame, rules=RULES) -> DataFrame:
     return each.where(F.col("x.sizes") >= F.col("least")).select("blob", "kind", "rank", "version", (F.col("end") - F.col("x.lens")).alias("start"), "end")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "path", text_col: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """Scans what the ledger lacks. Returns (findings by path, the ledger after this run).
-
-    Findings: path, blob, hits array<struct<start,rank,end,kind>> ordered by start, then rule. The ledger
-    gets a row for every pair now scanned, with its spans (an empty array for a clean pair).
-    """
-    source = versions.select(F.col(path_col).alias("path"), text_of(text_col).alias("content"))
-    paths = address(versions, path_col, text_col)
-    todo = cut(unseen(paths, ledger, rules), "blob-todo")
-    texts = source.join(todo, source["path"].eqNullSafe(todo["rep"])).where(F.sha2(F.col("content").cast("binary"), 256) == F.col("blob"))
-    fresh = cut(find(texts.select("blob", "content", "todo"), rules), "blob-hits")
-    spans = fresh.groupBy("blob", "kind").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    versions_of = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
-    scanned = todo.select("blob", F.explode("todo").alias("kind")).withColumn("version", F.element_at(versions_of, F.col("kind")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    after = scanned.join(spans, ["blob", "kind"], "left").select("blob", "kind", "version", F.coalesce("spans", empty).alias("spans"))
-    if ledger is not None:
-        after = ledger.select("blob", "kind", "version", "spans").unionByName(after)
+class Ledger:
+    """The ledger as a table in a folder."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame | None:
+        """All rows, or nothing before the first run."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+
+    def update(self, versions: DataFrame, path_col: str = "path", text_col: str = "text", rules=RULES) -> int:
+        """Scans the pairs that the ledger lacks and appends them. Returns how many pairs those were."""
+        source = versions.select(F.col(path_col).alias("path"), text_of(text_col).alias("content"))
+        todo = cut(unseen(address(versions, path_col, text_col), self.read(), rules), "blob-todo")
+        n = todo.agg(F.coalesce(F.sum(F.size("todo")), F.lit(0))).first()[0]
+        if n:
+            texts = source.join(todo, source["path"].eqNullSafe(todo["rep"])).where(F.sha2(F.col("content").cast("binary"), 256) == F.col("blob"))
+            found = find(texts.select("blob", "content", "todo"), rules)
+            spans = found.groupBy("blob", "kind").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+            scanned = todo.select("blob", F.explode("todo").alias("kind")).withColumn("version", F.element_at(_versions(rules), F.col("kind")))
+            rows = scanned.join(spans, ["blob", "kind"], "left").select("blob", "kind", "version", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+            rows.write.mode("append").parquet(self.path)
+        return n
+
+    def findings(self, versions: DataFrame, path_col: str = "path", text_col: str = "text", rules=RULES) -> DataFrame:
+        """path, blob, hits array<struct<start,rank,end,kind>> ordered by start, then rule, of every version: what the ledger says of its content."""
+        paths = address(versions, path_col, text_col)
+        known = self.read()
+        if known is None:  # nothing was ever scanned
+            return paths.select("path", "blob", F.lit(None).cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("hits"))
         ranks = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (r.kind, n)])
-        known = ledger.where(F.try_element_at(versions_of, F.col("kind")) == F.col("version")).withColumn("s", F.explode("spans"))
-        fresh = fresh.select("blob", "start", "rank", "end", "kind").unionByName(
-            known.select("blob", F.col("s.start").alias("start"), F.element_at(ranks, F.col("kind")).alias("rank"), F.col("s.end").alias("end"), "kind")
-        )
-    by_blob = fresh.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("hits"))
-    return paths.join(by_blob, "blob", "left").select("path", "blob", "hits"), after
+        known = known.where(F.size("spans") > 0).where(F.try_element_at(_versions(rules), F.col("kind")) == F.col("version")).dropDuplicates(["blob", "kind"])
+        hits = known.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(ranks, F.col("kind")).alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("h"))
+        by_blob = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("hits"))
+        return paths.join(by_blob, "blob", "left").select("path", "blob", "hits")
+
+
+def _versions(rules) -> Column:
+    return F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
+
+
+#: Session setting with the folder of a ledger that is kept from run to run.
+LEDGER_SETTING = "spark.ridgeline.secrets.ledger"
 
 
 def op5_secret_ledger(spark, sf_dir) -> DataFrame:
-    found, _ = scan(table(spark, sf_dir, "documents"), None, "doc_id")
+    """Findings of all documents by a ledger: the kept one, if the session names it, else one that begins with this run."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = Ledger(spark, spark.conf.get(LEDGER_SETTING, None) or scratch(spark, "secret-ledger"))
+    ledger.update(docs, "doc_id")
+    found = ledger.findings(docs, "doc_id")
     base = [r.kind for r in RULES if r.base]
     hits = F.coalesce("hits", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
