@@ -7,9 +7,9 @@ document is.
 Search: items are partitioned by their number of shingles (powers of two). An item's MinHash sketch is
 its bottom-k shingle hashes with k = m - ceil(0.8 m) + 1: a document that holds 80 % of the m shingles
 lacks fewer than k of them, so it holds one of the k at least (pigeonhole; no candidate is missed). Each
-partition has a threshold, the largest hash of its sketches; a document's sketch for the partition is its
-shingle hashes up to that threshold, and a document with too few shingles for the partition is skipped.
-A common hash in the sketches makes a candidate, which is verified by exact containment of shingle texts.
+partition is an index of its own with a threshold, the largest hash of its sketches; a document's sketch for
+the partition is its shingle hashes up to that threshold, and a document whose whole text has too few shingles
+for the partition is skipped. A common hash in the sketches makes a candidate, which is verified by exact containment of shingle texts.
 
 The search is one pass over the documents: nothing of them is shuffled. Items reach the tasks in blocks
 of bounded size (BLOCK_ITEMS and BLOCK_BYTES, read off before); a larger benchmark takes more blocks.
@@ -117,8 +117,42 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, owner
 
 
+class Partition:
+    """Sketches of the items of one size class: hashes in order with their items, and what a text needs to hold one of them."""
+
+    BITS = 18
+
+    def __init__(self, key: np.ndarray, item: np.ndarray, need: int):
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.need = key[order], item[order], need
+        self.top = self.key[-1]
+        self._mark()
+
+    def _mark(self) -> None:
+        self.marks = np.zeros(1 << self.BITS, bool)  # of the leading bits, to pass over most hashes fast
+        self.marks[(self.key >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+
+    def __getstate__(self):
+        return self.key, self.item, self.need, self.top
+
+    def __setstate__(self, state) -> None:
+        self.key, self.item, self.need, self.top = state
+        self._mark()
+
+    def meet(self, hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) pairs that share a hash of the item's sketch. hashes: ascending, so a text's sketch is what comes up to the threshold."""
+        n = int(np.searchsorted(hashes, self.top, "right"))
+        hit = np.flatnonzero(self.marks[(hashes[:n] >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        hit = hit[size[owner[hit]] >= self.need]
+        lo, hi = np.searchsorted(self.key, hashes[hit], "left"), np.searchsorted(self.key, hashes[hit], "right")
+        times = hi - lo
+        ends = np.cumsum(times)
+        at = np.arange(int(times.sum())) - np.repeat(ends - times, times) + np.repeat(lo, times)
+        return np.repeat(owner[hit], times), self.item[at]
+
+
 class Index:
-    """Sketches of a block of items, by size partition."""
+    """Sketches of a block of items, by size partition. It is built once, and travels as arrays."""
 
     def __init__(self, ids: list, texts: list[str], containment: float = CONTAINMENT):
         self.ids, self.texts, self.containment = ids, texts, containment
@@ -129,34 +163,20 @@ class Index:
         need = np.ceil(containment * m - 1e-9).astype(np.int64)
         place = np.arange(len(owner)) - np.concatenate(([0], np.cumsum(m)[:-1]))[owner] if len(owner) else owner
         sketch = place < (m - need + 1)[owner]
-        order = np.argsort(hashes[sketch], kind="stable")
-        self.key, self.item = hashes[sketch][order], owner[sketch][order]
-        self.need = need
-        part = np.floor(np.log2(np.maximum(m, 1))).astype(np.int64)
-        self.parts = [(p, int(need[m > 0][part[m > 0] == p].min()), self.key[part[self.item] == p].max()) for p in np.unique(part[m > 0])]
-        self.part = part
-        self.table = np.zeros(1 << 20, bool)  # of the leading 20 bits, to pass over most hashes fast
-        self.table[(self.key >> np.uint64(44)).astype(np.int64)] = True
-
-    def candidates(self, hashes: np.ndarray, owner: np.ndarray, n: int, cut: np.ndarray | None = None) -> dict[int, set[int]]:
-        """Text index to the items whose sketch meets the text's sketch for the item's partition. Texts marked in cut are here in part: their size says nothing."""
+        part = np.floor(np.log2(np.maximum(m, 1))).astype(np.int64)[owner[sketch]]
+        self.parts = []
+        for p in np.unique(part):
+            own = part == p
+            self.parts.append(Partition(hashes[sketch][own], owner[sketch][own], int(need[owner[sketch][own]].min())))
+
+    def candidates(self, hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> dict[int, set[int]]:
+        """Text index to the items whose sketch meets the text's sketch for the item's partition. size: shingles of each whole text, or more."""
         found: dict[int, set[int]] = {}
-        if not self.parts or not len(hashes):
-            return found
-        size = np.bincount(owner, minlength=n)
-        if cut is not None:
-            size[cut] = np.iinfo(np.int64).max
-        hit = np.flatnonzero(self.table[(hashes >> np.uint64(44)).astype(np.int64)] & (hashes <= max(t for _, _, t in self.parts)))
-        if not len(hit):
-            return found
-        lo, hi = np.searchsorted(self.key, hashes[hit], "left"), np.searchsorted(self.key, hashes[hit], "right")
-        least = {p: (need, top) for p, need, top in self.parts}
-        for h, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            t = int(owner[h])
-            for i in self.item[a:b].tolist():
-                need, top = least[self.part[i]]
-                if hashes[h] <= top and size[t] >= need:
-                    found.setdefault(t, set()).add(i)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        for part in self.parts:
+            for t, i in zip(*(x.tolist() for x in part.meet(hashes, owner, size))):
+                found.setdefault(t, set()).add(i)
         return found
 
     @lru_cache(4096)  # noqa: B019
@@ -164,40 +184,44 @@ class Index:
         return frozenset(shingle_texts(self.texts[i]))
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[int, bytes, bool]]:
-    """(text, lower-cased piece, whether there are more); a very long text gives several, which hold all its shingles."""
+def _pieces(texts: list[str]) -> Iterator[tuple[int, bytes, int]]:
+    """(text, lower-cased piece, shingles of the whole text or 0 for one that is not cut); the pieces of a very long text hold all its shingles."""
     for i, t in enumerate(texts):
         if len(t) <= GROUP_BYTES:
-            yield i, t.lower().encode("utf-8", "surrogatepass"), False
+            yield i, t.lower().encode("utf-8", "surrogatepass"), 0
             continue
         words = [w for w in words_of(t) if w]
-        for at in range(0, max(1, len(words) - WORDS + 1), PIECE_WORDS):
-            yield i, " ".join(words[at : at + PIECE_WORDS + WORDS - 1]).encode("utf-8", "surrogatepass"), len(words) - WORDS + 1 > PIECE_WORDS
+        count = max(1, len(words) - WORDS + 1)
+        for at in range(0, count, PIECE_WORDS):
+            yield i, " ".join(words[at : at + PIECE_WORDS + WORDS - 1]).encode("utf-8", "surrogatepass"), count
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
-    """(text of each piece, pieces, the texts that were cut)."""
-    ids, some, parted, size = [], [], [], 0
-    for i, t, cut in _pieces(texts):
+def _groups(texts: list[str]) -> Iterator[tuple[list[int], list[bytes], dict[int, int]]]:
+    """(text of each piece, pieces, shingles of the texts that were cut)."""
+    ids, some, whole, size = [], [], {}, 0
+    for i, t, count in _pieces(texts):
         ids.append(i)
         some.append(t)
-        if cut:
-            parted.append(i)
+        if count:
+            whole[i] = count
         size += len(t)
         if size >= GROUP_BYTES:
-            yield ids, some, parted
-            ids, some, parted, size = [], [], [], 0
+            yield ids, some, whole
+            ids, some, whole, size = [], [], {}, 0
     if ids:
-        yield ids, some, parted
+        yield ids, some, whole
 
 
 def search(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, shared, size of item) for all pairs that reach the containment."""
     found: dict[int, set[int]] = {}
-    for ids, some, parted in _groups(texts):
+    for ids, some, whole in _groups(texts):
         hashes, owner = shingle_hashes(some)
         owner = np.array(ids, np.int64)[owner] - ids[0]  # pieces of one text count together
-        for t, items in index.candidates(hashes, owner, ids[-1] - ids[0] + 1, np.array(parted, np.int64) - ids[0]).items():
+        size = np.bincount(owner, minlength=ids[-1] - ids[0] + 1)
+        for i, count in whole.items():
+            size[i - ids[0]] = count
+        for t, items in index.candidates(hashes, owner, size).items():
             found.setdefault(t + ids[0], set()).update(items)
     for t, items in sorted(found.items()):
         own = shingle_texts(texts[t])
@@ -227,7 +251,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     found = None
     for index in blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast((index.ids, index.texts))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
         part = source.mapInArrow(_searcher(shared, to_arrow_type(items.schema[item_id].dataType)), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
@@ -235,7 +259,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
 
 def _searcher(shared, item_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        index = shared.value
         for b in batches:
             rows = list(search(index, b.column(1).to_pylist()))
             t = pa.array([r[0] for r in rows], pa.int64())

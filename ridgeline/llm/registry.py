@@ -17,5 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op3_substrings": substrings.ORACLE,
+    "op5_secret_ledger": secrets.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }

@@ -162,3 +162,27 @@ def op5_secret_ledger(spark, sf_dir) -> DataFrame:
         joined(F.col("h")).alias("spans"),
         "blob",
     )
+
+
+def _matches_sql() -> str:
+    """The patterns as RE2 and DuckDB read them, written out once more; (kind, rank, pattern, group, least)."""
+    keys = "(?i:password|passwd|secret|token|api_?key)"
+    rules = [
+        ("assign", 0, rf"({keys})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", 1, "AKIA[A-Z0-9]+", 0, 20), ("hex", 2, "[0-9a-f]+", 0, 24),
+        ("pem", 3, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1), ("jwt", 4, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+    ]
+    each = "SELECT doc_id, '{0}' AS kind, {1} AS rank, {4} AS least, string_split_regex(t, '{2}') AS gaps, regexp_extract_all(t, '{2}') AS found, regexp_extract_all(t, '{2}', {3}) AS part FROM d"
+    return " UNION ALL ".join(each.format(*r) for r in rules)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_matches_sql()}),
+i AS (SELECT doc_id, kind, rank, least, len(unnest(gaps[1:len(found)])) AS gap, len(unnest(found)) AS size, len(unnest(part)) AS own, unnest(range(len(found))) AS i FROM m),
+s AS (SELECT doc_id, kind, rank, least, own, size, sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop FROM i),
+k AS (SELECT doc_id, kind, rank, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM s WHERE own >= least),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, sha256(t) AS blob FROM d LEFT JOIN per USING (doc_id)
+"""

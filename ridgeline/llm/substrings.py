@@ -444,3 +444,20 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op3_substrings(spark, sf_dir) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), keep=False)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d)),
+f AS (SELECT s, min(struct_pack(doc_id := doc_id, p := p)) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS starts
+      FROM w JOIN f USING (s) WHERE struct_pack(doc_id := doc_id, p := p) <> first),
+g AS (SELECT doc_id, p, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+per AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last FROM runs GROUP BY doc_id),
+parts AS (SELECT doc_id, a, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS kept FROM runs JOIN d USING (doc_id)),
+heads AS (SELECT doc_id, string_agg(kept, '' ORDER BY a) AS kept FROM parts GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(heads.kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id LEFT JOIN heads ON heads.doc_id = d.doc_id
+"""

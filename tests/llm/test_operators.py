@@ -65,6 +65,15 @@ def test_mixing_meets_targets(spark):
     assert [tuple(r) for r in mixing.mix(frame(spark, rows)).orderBy("doc_id").collect()] == [tuple(r) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
+def test_mixing_takes_no_third_copy_of_a_document_without_words(spark):
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(5) if i % 2 else "", None, "small") for i in range(40)] + [(100 + i, words(900), None, "large") for i in range(20)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    small = [r for r in got if r.doc_id < 100]
+    assert small[0].target == 2 * small[0].source_size and {r.copies for r in small} == {2}
+    assert max(r.copies for r in got) <= 2
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     got = mixing.mix(frame(spark, [(1, None, None, "a"), (2, "", None, None)])).collect()
