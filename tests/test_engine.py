@@ -328,3 +328,247 @@ def test_slices_by_bytes():
 
     batch = pa.RecordBatch.from_arrays([pa.array(list("abcde")), pa.array([b"x" * 10, None, b"x" * 40, b"", b"x"], pa.binary())], ["path", "content"])
     assert [s.column(0).to_pylist() for s in itl.sliced(batch, 1, 12)] == [["a", "b"], ["c"], ["d", "e"]]
+
+
+# ---- image files ------------------------------------------------------------------------------------------
+
+
+class JpegBits:
+    def __init__(self):
+        self.text = []
+
+    def put(self, value, n):
+        if n:
+            self.text.append(format(value & ((1 << n) - 1), f"0{n}b"))
+
+    def symbol(self, s, dc):  # DC: 4 bits a symbol; AC: symbols under 128 have 8 bits, the others 9
+        self.put(s, 4) if dc else self.put(s, 8) if s < 128 else self.put(256 + s - 128, 9)
+
+    def signed(self, v):
+        n = abs(v).bit_length()
+        self.put(v if v >= 0 else v + (1 << n) - 1, n)
+        return n
+
+    def done(self):
+        text = "".join(self.text)
+        text += "1" * (-len(text) % 8)
+        return int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00") if text else b""
+
+
+def jpeg_segment(marker, body):
+    return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def ac_first(bits, blocks, low, runs):
+    """The AC coefficients without their `low` bits; runs: ends of blocks are counted together."""
+    ended = 0
+
+    def flush():
+        nonlocal ended
+        while ended:
+            n = ended.bit_length() - 1
+            bits.symbol(n << 4, False)
+            bits.put(ended - (1 << n), n)
+            ended = 0
+
+    for block in blocks:
+        zeros, values = 0, [abs(v) >> low if v >= 0 else -(abs(v) >> low) for v in block]
+        for v in values[1:]:
+            if not v:
+                zeros += 1
+                continue
+            flush()
+            while zeros > 15:
+                bits.symbol(0xF0, False)
+                zeros -= 16
+            bits.symbol(zeros << 4 | abs(v).bit_length(), False)
+            bits.signed(v)
+            zeros = 0
+        if zeros:
+            ended += 1
+            if not runs:
+                flush()
+    flush()
+
+
+def ac_refine(bits, blocks):
+    for block in blocks:
+        new = [k for k in range(1, 64) if abs(block[k]) == 1]
+        last, zeros, pending = new[-1] if new else 0, 0, []
+        for k in range(1, 64):
+            v = block[k]
+            if v == 0:
+                zeros += 1
+                if zeros == 16 and k < last:
+                    bits.symbol(0xF0, False)
+                    [bits.put(x, 1) for x in pending]
+                    zeros, pending = 0, []
+            elif abs(v) > 1:
+                pending.append(abs(v) & 1)
+            else:
+                bits.symbol(zeros << 4 | 1, False)
+                bits.put(v > 0, 1)
+                [bits.put(x, 1) for x in pending]
+                zeros, pending = 0, []
+        if last != 63:
+            bits.symbol(0, False)
+            [bits.put(x, 1) for x in pending]
+
+
+def jpeg_file(coefficients, width, height, sampling, progressive):
+    """A JPEG of blocks (component: rows by columns by 64, zigzag) with fixed codes."""
+    head = [b"\xff\xd8", jpeg_segment(0xDB, bytes([0] + [2] * 64))]
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(coefficients)])
+    frame += b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(sampling))
+    head.append(jpeg_segment(0xC2 if progressive else 0xC0, frame))
+    head.append(jpeg_segment(0xC4, bytes([0x00] + [0, 0, 0, 12] + [0] * 12) + bytes(range(12))))
+    head.append(jpeg_segment(0xC4, bytes([0x10] + [0] * 7 + [128, 128] + [0] * 7) + bytes(range(256))))
+    across, down = max(h for h, _ in sampling), max(v for _, v in sampling)
+
+    def scan(names, first, last, high, low, body):
+        return jpeg_segment(0xDA, bytes([len(names)]) + b"".join(bytes([c + 1, 0]) for c in names) + bytes([first, last, high << 4 | low])) + body
+
+    def interleaved():
+        for y in range(-(-height // (8 * down))):
+            for x in range(-(-width // (8 * across))):
+                for c, (h, v) in enumerate(sampling):
+                    for i in range(v):
+                        for j in range(h):
+                            yield c, coefficients[c][y * v + i][x * h + j]
+
+    def own(c):
+        h, v = sampling[c]
+        rows, columns = -(-(-(-height * v // down)) // 8), -(-(-(-width * h // across)) // 8)
+        return [coefficients[c][y][x] for y in range(rows) for x in range(columns)]
+
+    def dc(bits, low, blocks, whole):
+        before = [0] * len(sampling)
+        for c, block in blocks:
+            v = block[0] >> low
+            bits.symbol(abs(v - before[c]).bit_length(), True)
+            bits.signed(v - before[c])
+            before[c] = v
+            if whole:
+                ac_first(bits, [block], 0, False)
+
+    every, bits = list(range(len(sampling))), JpegBits()
+    if not progressive:
+        dc(bits, 0, interleaved(), True)
+        return b"".join([*head, scan(every, 0, 63, 0, 0, bits.done()), b"\xff\xd9"])
+    dc(bits, 1, interleaved(), False)
+    out = [*head, scan(every, 0, 0, 0, 1, bits.done())]
+    for c in every:
+        bits = JpegBits()
+        ac_first(bits, own(c), 1, True)
+        out.append(scan([c], 1, 63, 0, 1, bits.done()))
+    bits = JpegBits()
+    for _, block in interleaved():
+        bits.put(block[0] & 1, 1)
+    out.append(scan(every, 0, 0, 1, 0, bits.done()))
+    for c in every:
+        bits = JpegBits()
+        ac_refine(bits, own(c))
+        out.append(scan([c], 1, 63, 1, 0, bits.done()))
+    return b"".join([*out, b"\xff\xd9"])
+
+
+@pytest.mark.parametrize(("width", "height", "sampling"), [(37, 21, [(1, 1)]), (50, 35, [(2, 2), (1, 1), (1, 1)]), (41, 17, [(2, 1), (1, 1), (1, 1)])])
+def test_progressive_jpegs_decode_as_sequential_ones(width, height, sampling):
+    rng = np.random.default_rng(width)
+    across, down = max(h for h, _ in sampling), max(v for _, v in sampling)
+    rows, columns = -(-height // (8 * down)), -(-width // (8 * across))
+    made = []
+    for h, v in sampling:
+        blocks = rng.integers(-9, 10, (rows * v, columns * h, 64)) * (rng.random((rows * v, columns * h, 64)) < rng.choice([0.02, 0.2, 0.6], (rows * v, columns * h, 1)))
+        blocks[..., 0] = rng.integers(-300, 300, blocks.shape[:2])
+        made.append(blocks.tolist())
+    plain, several = (jpeg_file(made, width, height, sampling, p) for p in (False, True))
+    a, b = raster.read_image(plain), raster.read_image(several)
+    assert raster.baseline_jpeg(plain) and not raster.baseline_jpeg(several) and a.size == (width, height)
+    # Blocks beyond a component's edge are in interleaved scans only, and show nowhere.
+    assert (a.pixels == b.pixels).all() and len(np.unique(a.pixels)) > 20
+    for cut in (several[:60], several[: len(several) // 2][:-1], b"\xff\xd8\xff\xc9\x00\x0b" + several[40:60]):
+        try:
+            raster.read_image(cut)
+        except raster.RasterError:
+            pass
+
+
+@pytest.mark.parametrize(("colour", "depth"), [(0, 1), (0, 8), (2, 8), (6, 16)])
+def test_interlaced_png(colour, depth):
+    import struct
+    import zlib
+
+    rng, (width, height), channels = np.random.default_rng(depth), (13, 11), {0: 1, 2: 3, 6: 4}[colour]
+    pixels = rng.integers(0, 2 if depth == 1 else 256, (height, width, channels), dtype=np.uint8)
+    raw = b""
+    for x, y, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)):
+        part = pixels[y::dy, x::dx]
+        for line in part if part.size else []:
+            flat = line.ravel()
+            raw += b"\0" + (np.packbits(flat).tobytes() if depth == 1 else flat.tobytes() if depth == 8 else np.repeat(flat, 2).tobytes())
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert (raster.read_image(data).pixels == pixels * (255 if depth == 1 else 1)).all()
+
+
+def tiff_lzw(data):
+    """Clear, then codes of what was seen before, growing one code early."""
+    table, text, last, width = {bytes([i]): i for i in range(256)}, [format(256, "09b")], b"", 9
+    size = 258
+    for byte in data:
+        if last + bytes([byte]) in table:
+            last += bytes([byte])
+            continue
+        text.append(format(table[last], f"0{width}b"))
+        table[last + bytes([byte])] = size
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        last = bytes([byte])
+        if size == 4094:
+            text.append(format(table[last], f"0{width}b") + format(256, f"0{width}b"))
+            table, size, width, last = {bytes([i]): i for i in range(256)}, 258, 9, b""
+    if last:
+        text.append(format(table[last], f"0{width}b"))
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    whole = "".join(text) + format(257, f"0{width}b")
+    whole += "0" * (-len(whole) % 8)
+    return int(whole, 2).to_bytes(len(whole) // 8, "big")
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8, 32773])
+@pytest.mark.parametrize("tile", [0, 16])
+@pytest.mark.parametrize("differences", [1, 2])
+def test_tiff_layouts(packing, tile, differences):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(packing)
+    pixels = np.repeat(rng.integers(0, 256, (37, 15, 3), dtype=np.uint8), 3, axis=1)
+    height, width, channels = pixels.shape
+    blocks = []
+    for y in range(0, height, tile or 10):
+        for x in range(0, width, tile or width):
+            part = pixels[y : y + (tile or 10), x : x + (tile or width)]
+            if tile:
+                part = np.pad(part, ((0, tile - part.shape[0]), (0, tile - part.shape[1]), (0, 0)))
+            if differences == 2:
+                part = np.concatenate((part[:, :1], part[:, 1:] - part[:, :-1]), axis=1)
+            raw = part.tobytes()
+            blocks.append({1: lambda r: r, 5: tiff_lzw, 8: zlib.compress, 32773: lambda r: b"".join(bytes([len(r[i : i + 100]) - 1]) + r[i : i + 100] for i in range(0, len(r), 100)) + b"\x80\xff\x07"}[packing](raw))
+    starts = np.cumsum([8] + [len(b) for b in blocks])[:-1].tolist()
+    body = b"".join(blocks) + b"\0" * (sum(map(len, blocks)) % 2)
+    lists = 8 + len(body)
+    tags = [(256, 4, [width]), (257, 4, [height]), (259, 3, [packing]), (262, 3, [2]), (277, 3, [channels]), (317, 3, [differences])]
+    tags += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, starts), (325, 4, [len(b) for b in blocks])] if tile else [(273, 4, starts), (278, 4, [10]), (279, 4, [len(b) for b in blocks])]
+    extra, entries = b"", b""
+    for tag, kind, values in sorted(tags):
+        packed = struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(packed) > 4:
+            entries += struct.pack("<HHII", tag, kind, len(values), lists + len(extra))
+            extra += packed
+        else:
+            entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    data = b"II*\0" + struct.pack("<I", lists + len(extra)) + body + extra + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
+    assert (raster.read_image(data).pixels == pixels).all()
