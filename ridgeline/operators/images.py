@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import raster, wsq
 from ridgeline.functions.codes import REPLACEABLE
 from ridgeline.functions.raster import Raster, RasterError
+from ridgeline.operators.records import apply_todo
 from ridgeline.sources import itl
 from ridgeline.sources.itl import Malformed
 
@@ -217,6 +218,65 @@ def resize_images(transactions: DataFrame, sizes: DataFrame) -> DataFrame:
     return itl.map_records(itl.with_edits(transactions, by_path, F.size("todo") * 12), edit, "todo")
 
 
+def edit_files(transactions: DataFrame, drafts: DataFrame | None = None, replacements: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Field drafts (path, record_index, field, draft_value), image files (path, record_index, data) and new sizes
+    (path, record_index, width, height) as one edit a file, in that order: all of a file's edits hold, or none (edit_error)."""
+    kinds = {"record_index": "int", "field": "int", "draft_value": "string", "data": "binary", "width": "int", "height": "int"}
+    todo = None
+    for step, given in enumerate((drafts, replacements, sizes)):
+        if given is None:
+            continue
+        columns = [(F.col(c) if c in given.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+        rows = given.select("path", F.struct(F.lit(step).alias("step"), *columns).alias("t"))
+        todo = rows if todo is None else todo.unionByName(rows)
+    if todo is None:
+        return transactions.withColumn("edit_error", F.lit(None).cast("string"))
+    by_path = todo.groupBy("path").agg(F.sort_array(F.collect_list("t")).alias("todo"))
+
+    def edit(records, warnings, todo):
+        drafted = [t for t in todo if t["step"] == 0]
+        if drafted:
+            apply_todo(records, drafted)
+            itl.serialise(records, warnings)
+        for t in todo:
+            if t["step"] == 1:
+                replace_in(records, warnings, t["record_index"], t["data"])
+            elif t["step"] == 2:
+                resize_in(records, warnings, t["record_index"], t["width"], t["height"])
+
+    size = F.aggregate("todo", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t["data"]), F.octet_length(t["draft_value"]), F.lit(0)) + 32)
+    return itl.map_records(itl.with_edits(transactions, by_path, size), edit, "todo")
+
+
+def read_images(files: DataFrame, preview: bool = True) -> DataFrame:
+    """Image files (path, content), such as bare WSQ streams, as images() gives those of records."""
+    empty = F.array().cast("array<struct<field:int,code:string,value:string,raw:binary>>")
+    return images(files.select("path", F.lit(0).alias("record_index"), F.lit(0).alias("record_type"), F.col("content").alias("image_data"), empty.alias("fields")), preview)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for data in b.column(5):
+            p = np.frombuffer(data.as_buffer(), np.uint8) if data.is_valid else np.empty(0, np.uint8)
+            rows.append((int(p.min()), int(p.max()), int(p.sum(dtype=np.int64)) // len(p)) if len(p) else (None, None, None))
+        columns = [b.column(k) for k in (0, 1, 2, 3, 4, 6)] + [pa.array([r[k] for r in rows], pa.int32()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, ["path", "record_index", "width", "height", "source", "decode_error", "low", "high", "mean"])
+
+
+def image_stats(images_df: DataFrame) -> DataFrame:
+    """path, record_index, width, height, source, decode_error, and the least, largest and (whole) mean sample of decoded images."""
+    rows = images_df.select("path", "record_index", "width", "height", "source", "pixels", "decode_error")
+    return rows.mapInArrow(_measure, "path string, record_index int, width int, height int, source string, decode_error string, low int, high int, mean int")
+
+
+def dump(transactions: DataFrame) -> DataFrame:
+    """A row a record, for looking at files: type, idc, bytes, number of fields, what the image is and its samples' least, largest and mean."""
+    records = itl.records(transactions)
+    listed = records.select("path", "record_index", "record_type", "idc", "byte_length", F.size("fields").alias("n_fields"), F.octet_length("image_data").alias("image_bytes"))
+    return listed.join(image_stats(images(records, preview=True)), ["path", "record_index"], "left")
+
+
 def export_png(images_df: DataFrame) -> DataFrame:
     """path, record_index, png of decoded images."""
 

@@ -129,19 +129,24 @@ def drafted_fields(fields: DataFrame, drafts: DataFrame) -> DataFrame:
     return fields.join(over, ["path", "record_index", "field"], "left").withColumn("value", F.coalesce("draft", "value")).drop("draft")
 
 
+def apply_todo(records: list[dict], todo: list[dict]) -> None:
+    """Sets the values of drafted fields; Malformed if one is not there."""
+    for t in todo:
+        own = next((f for r in records if r["record_index"] == t["record_index"] for f in r["fields"] if f["field"] == t["field"]), None)
+        if own is None:
+            raise itl.Malformed(f"Field {t['field']} no longer exists")
+        try:
+            own["value"] = text.unescape(t["draft_value"])
+        except ValueError as e:
+            raise itl.Malformed(str(e)) from e
+
+
 def apply_drafts(transactions: DataFrame, drafts: DataFrame) -> DataFrame:
     """Transactions with drafts applied and lengths brought up to date; all of a file's drafts hold, or none (edit_error)."""
     by_path = drafts.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("record_index", "field", "draft_value"))).alias("todo"))
 
     def edit(records, warnings, todo):
-        for t in todo or []:
-            own = next((f for r in records if r["record_index"] == t["record_index"] for f in r["fields"] if f["field"] == t["field"]), None)
-            if own is None:
-                raise itl.Malformed(f"Field {t['field']} no longer exists")
-            try:
-                own["value"] = text.unescape(t["draft_value"])
-            except ValueError as e:
-                raise itl.Malformed(str(e)) from e
+        apply_todo(records, todo)
         itl.serialise(records, warnings)
 
     size = F.aggregate("todo", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["draft_value"]) + 16)

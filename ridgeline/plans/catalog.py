@@ -600,6 +600,37 @@ def replace_image(spark, sf):
     )
 
 
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 1 THEN 'Field 88 no longer exists' WHEN vec_id % 3 = 2 THEN 'Width and height must be greater than zero' END AS edit_error,
+          CASE WHEN vec_id % 3 = 0 THEN '12' ELSE '8' END AS hll, CASE WHEN vec_id % 3 = 0 THEN 'x' || chr(30) ELSE 'vec-' || vec_id END AS tcn, CASE WHEN vec_id % 3 = 0 THEN 144 ELSE 64 END AS n FROM embeddings""")
+def edit_together(spark, sf):
+    """Drafts, a replacement and a new size as one edit: a file with a bad draft or a bad size keeps all it had."""
+    ids = _t(spark, sf, "embeddings").select(F.col("vec_id"), F.col("vec_id").cast("string").alias("path"), synth.pixels(F.col("embedding")).alias("data"))
+    drafts = ids.select("path", F.lit(0).alias("record_index"), F.lit(9).alias("field"), F.lit("x\\x1e").alias("draft_value"))
+    drafts = drafts.unionByName(ids.where("vec_id % 3 = 1").select("path", F.lit(1).alias("record_index"), F.lit(88).alias("field"), F.lit("y").alias("draft_value")))
+    files = _kernel(ids.select(F.col("vec_id").alias("key"), "data"), lambda p: (raster.write_png(np.frombuffer(p, np.uint8).reshape(8, 8, 1)),), "png binary")
+    replacements = files.select(F.col("key").cast("string").alias("path"), F.lit(1).alias("record_index"), F.col("png").alias("data"))
+    sizes = ids.select("path", F.lit(1).alias("record_index"), F.when(F.col("vec_id") % 3 == 2, 0).otherwise(12).alias("width"), F.lit(12).alias("height"))
+    made = image_ops.edit_files(_vectors(spark, sf), drafts, replacements, sizes)
+    r = itl.records(made)
+    first = r.where("record_index = 0").select("path", ops.field_value("TCN").alias("tcn"))
+    image = r.where("record_index = 1").select("path", ops.field_value("HLL").alias("hll"), F.octet_length("image_data").alias("n"))
+    return made.select("path", "edit_error").join(first, "path").join(image, "path").select(_id("vec_id"), "edit_error", "hll", "tcn", "n")
+
+
+@query(f"""SELECT vec_id, unnest([0, 1]) AS record_index, unnest([1, 4]) AS record_type, unnest([5, 8]) AS n_fields, unnest([NULL, 64]) AS image_bytes, unnest([NULL, 'raw']) AS source,
+           unnest([NULL, list_min({_Q})])::INTEGER AS low, unnest([NULL, list_max({_Q})])::INTEGER AS high, unnest([NULL, list_sum({_Q})::BIGINT // 64])::INTEGER AS mean FROM embeddings""")
+def record_dump(spark, sf):
+    return image_ops.dump(_vectors(spark, sf)).select(_id("vec_id"), "record_index", "record_type", "n_fields", "image_bytes", "source", "low", "high", "mean")
+
+
+@query("SELECT n_nationkey AS key, 'WSQ' AS source, 128 AS width, 130 AS height, (n_nationkey * 10 + 5)::INTEGER AS mean FROM nation")
+def bare_streams(spark, sf):
+    """WSQ streams that are files of their own."""
+    flat = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), synth.number(F.col("n_nationkey") * 10 + 5, 1).alias("data"))
+    files = _kernel(flat, lambda v: (wsq.encode(v * (128 * 130), 128, 130),), "content binary").select(F.col("key").cast("string").alias("path"), "content")
+    return image_ops.image_stats(image_ops.read_images(files)).select(_id("key"), "source", "width", "height", "mean")
+
+
 @query("SELECT vec_id, '16' AS hll, '4' AS vll, 82::BIGINT AS byte_length, NULL::VARCHAR AS edit_error FROM embeddings")
 def resize_image(spark, sf):
     sizes = _t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(1).alias("record_index"), F.lit(16).alias("width"), F.lit(4).alias("height"))
