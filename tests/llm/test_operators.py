@@ -297,6 +297,41 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identified(docs, langid.learn(frame(spark, []))).collect()} == {"und"}
 
 
+def test_mixtures_match_plain_expectation_maximisation():
+    rng = np.random.default_rng(19)
+    langs = ["a", "b", "c", "d"]
+    table = rng.random((langid.SLOTS, 4)) ** 6 + 1e-4
+    table /= table.sum(0)
+    texts = [prose(random.Random(k), 3 + 9 * k, "abcdefghijklmnop") + " é" * (k % 3) for k in range(25)]
+    # A text of two languages: trigrams where a or b is likely.
+    for text in texts:
+        slots = langid.trigrams(text).tolist()
+
+        def plain(some):
+            share = [1 / len(some)] * len(some)
+            for _ in range(langid.STEPS):
+                sums = [0.0] * len(some)
+                for slot in slots:
+                    parts = [w * table[slot, k] for w, k in zip(share, some)]
+                    for i, x in enumerate(parts):
+                        sums[i] += x / sum(parts)
+                share = [x / len(slots) for x in sums]
+            share = share if len(some) > 1 else [1.0]
+            return share, sum(math.log(sum(w * table[slot, k] for w, k in zip(share, some))) for slot in slots)
+
+        whole, most = plain(range(4))
+        order = sorted(range(4), key=lambda k: (-whole[k], k))
+        fee, best = 2 + 0.5 * math.log(len(slots)), None
+        for k in range(1, 5):
+            some = sorted(order[:k])
+            share, likelihood = plain(some)
+            if best is None or -likelihood + fee * (k - 1) < best[0]:
+                best = (-likelihood + fee * (k - 1), some, share)
+        top = max(range(len(best[1])), key=lambda i: best[2][i])
+        lang, score, _ = langid.identify(text, langs, table)
+        assert lang == langs[best[1][top]] and abs(score - best[2][top]) < 1e-9, text
+
+
 def test_every_language_is_learned_from_a_sample(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 8), "aa", None) for i in range(2000)] + [(i, prose(rng, 40, "ijklxyz"), "zz", None) for i in range(2000, 2004)]
