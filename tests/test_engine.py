@@ -264,6 +264,39 @@ def test_wsq_invalid_codes_are_an_error():
         wsq.decode(bytes(stream))
 
 
+def _analysed(line, low_taps, high_taps):
+    """Plain analysis by filters of even length over the half-sample extension of a line: its low and its high samples."""
+    n = len(line)
+    at = lambda i: line[i % (2 * n) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)]
+    part = lambda taps, count: [sum(c * at(2 * k + j - len(taps) // 2 + 1) for j, c in enumerate(taps)) for k in range(count)]
+    return part(low_taps, n - n // 2) + part(high_taps, n // 2)
+
+
+_TWO, _SIX = np.array([1, 1]) / 2**0.5, np.array([-1, 1, 8, 8, 1, -1]) * 2**0.5 / 16
+
+
+@pytest.mark.parametrize(("low", "high"), [(_TWO, [-1, 1] * _TWO), (_SIX, [-1, 1] * _TWO), (_TWO, np.array([1, 1, -8, 8, -1, -1]) * 2**0.5 / 16)])
+def test_wsq_filters_of_even_length(low, high):
+    """The filters that a table's halves stand for undo a plain analysis, whatever the line's length and place."""
+    halves = [low[len(low) // 2 :], -np.asarray(high)[len(high) // 2 :]]
+    table = bytes([len(low), len(high)]) + b"".join(struct.pack(">BBI", int(c < 0), 9, round(abs(c) * 10**9)) for half in halves for c in half)
+    taps = wsq._read_filters(table)
+    for n in (1, 2, 3, 8, 9, 16, 21):
+        line = np.random.default_rng(n).normal(size=n)
+        made = _analysed(line, low, high)
+        split = n - n // 2
+        for mirrored, lines in ((False, made), (True, made[split:] + made[:split])):
+            back = wsq.synthesise(np.array([lines], np.float32), mirrored, *taps)
+            assert back.shape == (1, n) and np.abs(back[0] - line).max() < 1e-5, (n, mirrored)
+
+
+def test_wsq_filters_that_do_not_fit_together():
+    one = struct.pack(">BBI", 0, 0, 1)
+    for table in (bytes([2, 3]) + 3 * one, bytes([0, 2]) + one, b"\x02"):
+        with pytest.raises(wsq.WsqError):
+            wsq._read_filters(table)
+
+
 def test_band_steps_are_where_dropping_bands_ends():
     """The level of the water against the plain rule: take the factor for the bands in use, drop those it makes too coarse, again."""
     rng = np.random.default_rng(3)
