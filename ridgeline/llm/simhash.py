@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import attach, cut, small, table
@@ -268,6 +268,10 @@ MOST_COMMON = 1 << 18
 BLOCK_SHINGLES = 64
 #: Bytes of bitmaps that count as one row of a bucket.
 ROW_BYTES = 128
+#: Size classes of a large bucket: a little wider than the ratio of two sets that agree to 0.8.
+CLASS_RATIO = 1.26
+#: How often a large class is dealt into blocks before members apart meet all others.
+BLOCK_ROUNDS = 2
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -471,17 +475,13 @@ def _by_set(members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield members.field("node").to_numpy(zero_copy_only=False), out
 
 
-def _dealt(members: DataFrame, key: str, columns: list[str], limit: int) -> DataFrame:
-    """Members (key, node, n = size of the key's group, columns) as lists: a group up to the limit whole, a larger one as all pairs of its blocks."""
-    parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("p", F.explode(pairs))
-    return dealt.groupBy(key, "p").agg(F.collect_list(F.struct("node", *columns)).alias("members")).select("members")
+def _gathered(members: DataFrame, key: list, columns: list[str]) -> DataFrame:
+    """Members (key, node, columns) as one list a key."""
+    return members.groupBy(*key).agg(F.collect_list(F.struct("node", *columns)).alias("members")).select("members")
 
 
-def _dealt_minors(members: DataFrame, limit: int) -> DataFrame:
-    """Members (root, node, shingles, minor, n_minor, n_major) as lists in which every minor member meets every member.
+def _dealt_minors(members: DataFrame, key: str, columns: list[str], limit: int) -> DataFrame:
+    """Members (key, node, columns, minor, n_minor, n_major) as lists in which every minor member meets every member.
 
     Blocks of minor members come first, then blocks of the others; groups are the pairs whose first block is a
     minor one. So the others are copied once for each block of minor members, of which there is mostly one.
@@ -494,8 +494,7 @@ def _dealt_minors(members: DataFrame, limit: int) -> DataFrame:
     pair = lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"))
     last = F.when(F.col("minor"), F.col("few") + F.col("more") - 1).otherwise(F.col("few") - 1)
     pairs = F.when(F.col("few") == 0, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), last), pair))
-    dealt = dealt.withColumn("p", F.explode(pairs))
-    return dealt.groupBy("root", "p").agg(F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
+    return _gathered(dealt.withColumn("p", F.explode(pairs)), [key, "p"], columns)
 
 
 def _kept_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,6 +551,49 @@ def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "holds"])
 
 
+def _largest_pieces(members: DataFrame, key: str, size: str) -> DataFrame:
+    """Of members (key, piece, size): key, major (its largest piece), n_major and n_minor (sizes of that piece and of all others)."""
+    pieces = members.groupBy(key, "piece").agg(F.sum(size).alias(size))
+    return pieces.groupBy(key).agg(F.max_by("piece", F.struct(size, "piece")).alias("major"), F.max(size).alias("n_major"), (F.sum(size) - F.max(size)).alias("n_minor"))
+
+
+def _rows() -> Column:
+    """How many rows of a bucket a member counts as: more than one if its bitmap is long."""
+    return F.greatest(F.lit(1.0), F.octet_length("bits") / F.lit(ROW_BYTES))
+
+
+def _links_of_large(members: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """Edges within buckets over the limit. members: bucket, node, m, bits; found: edges of the other buckets.
+
+    Members fall into size classes, each with the next one, as sets that agree to 0.8 are of one class or of neighbours.
+    Classes over the limit are searched in blocks, dealt anew for each of BLOCK_ROUNDS, at a row a member. What is in one
+    component by then needs no look at its pairs: only members outside their class's largest piece meet all others. So the
+    work follows the number of rows where copies make a bucket large, and nothing is left out.
+    """
+    search = _group_forests(_by_bitmap, _may_agree)
+    size_class = F.floor(F.log("m") / F.log(F.lit(CLASS_RATIO)))
+    finer = members.withColumn("class", F.explode(F.array(size_class, size_class + 1))).withColumn("bucket", F.xxhash64("bucket", "class")).drop("class")
+    finer = cut(finer, "simhash-classes")
+    sizes = cut(finer.groupBy("bucket").agg(F.sum(_rows()).alias("n")), "simhash-sizes")
+    few = finer.join(small(sizes.where(F.col("n") <= limit).select("bucket")), "bucket")
+    found = found.unionByName(_gathered(few, ["bucket"], ["m", "bits"]).mapInArrow(search, "a long, b long"))
+    large = sizes.where(F.col("n") > limit)
+    if large.isEmpty():
+        return found
+    many = finer.join(small(large), "bucket")
+    for seed in range(BLOCK_ROUNDS):
+        block = F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") / F.lit(limit)))
+        found = found.unionByName(_gathered(many.withColumn("block", block), ["bucket", "block"], ["m", "bits"]).mapInArrow(search, "a long, b long"))
+    found = cut(found.distinct(), "simhash-blocks")
+    pieces = cut(components(found), "simhash-block-roots").withColumnRenamed("root", "piece")
+    told = many.select("bucket", "node", _rows().alias("size")).join(pieces, "node", "left")
+    told = cut(told.select("bucket", "node", F.coalesce("piece", "node").alias("piece"), "size"), "simhash-told")
+    apart = cut(_largest_pieces(told, "bucket", "size").where("n_minor > 0"), "simhash-apart")
+    left = told.join(small(apart), "bucket").select("bucket", "node", (F.col("piece") != F.col("major")).alias("minor"), "n_minor", "n_major")
+    left = left.join(many.select("bucket", "node", "m", "bits"), ["bucket", "node"])
+    return found.unionByName(_dealt_minors(left, "bucket", ["m", "bits"], limit).mapInArrow(search, "a long, b long"))
+
+
 def prefix_links(prints: DataFrame, nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Candidate edges (a, b) between nodes. prints: node, first (a row a document); nodes: node, m, bits (a row a node).
 
@@ -567,9 +609,15 @@ def prefix_links(prints: DataFrame, nodes: DataFrame, limit: int = BUCKET_LIMIT)
     pairs = sums.where("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.select("a", "b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(_possible_pairs, "a long, b long")
     members = cut(shared.join(sums.where("n > 2").select("bucket"), "bucket").join(nodes.select("node", "m", "bits"), "node"), "simhash-members")
-    size = members.groupBy("bucket").agg(F.greatest(F.count(F.lit(1)), F.sum(F.octet_length("bits")) / F.lit(ROW_BYTES)).alias("n"))
-    groups = _dealt(members.join(size, "bucket"), "bucket", ["m", "bits"], limit)
-    return pairs.unionByName(groups.mapInArrow(_group_forests(_by_bitmap, _may_agree), "a long, b long")).distinct()
+    size = cut(members.groupBy("bucket").agg(F.sum(_rows()).alias("n")), "simhash-bucket-sizes")
+    large = size.where(F.col("n") > limit).select("bucket")
+    if large.isEmpty():
+        groups = _gathered(members, ["bucket"], ["m", "bits"])
+        return pairs.unionByName(groups.mapInArrow(_group_forests(_by_bitmap, _may_agree), "a long, b long")).distinct()
+    large = small(large)
+    groups = _gathered(members.join(large, "bucket", "left_anti"), ["bucket"], ["m", "bits"])
+    found = pairs.unionByName(groups.mapInArrow(_group_forests(_by_bitmap, _may_agree), "a long, b long"))
+    return _links_of_large(members.join(large, "bucket", "left_semi"), found, limit).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -596,10 +644,9 @@ def _exact_roots(edges: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     torn = failed.join(loose, "node").select("root").distinct()
     members = loose.join(torn, "root").join(roots.withColumnRenamed("root", "piece"), "node", "left").join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
     members = cut(members.select("root", "node", F.coalesce("piece", "node").alias("piece"), F.expr("size div 6").alias("m")), "simhash-torn")
-    pieces = members.groupBy("root", "piece").agg(F.sum("m").alias("m"))
-    sizes = pieces.groupBy("root").agg(F.max_by("piece", F.struct("m", "piece")).alias("major"), F.max("m").alias("n_major"), (F.sum("m") - F.max("m")).alias("n_minor"))
+    sizes = _largest_pieces(members, "root", "m")
     members = members.join(sizes, "root").withColumn("minor", F.col("piece") != F.col("major")).join(sets.select("node", "shingles"), "node")
-    more = _dealt_minors(members, limit * BLOCK_SHINGLES).mapInArrow(_group_forests(_by_set, _agree), "a long, b long")
+    more = _dealt_minors(members, "root", ["shingles"], limit * BLOCK_SHINGLES).mapInArrow(_group_forests(_by_set, _agree), "a long, b long")
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return cut(components(stars.unionByName(more)), "simhash-roots")
 

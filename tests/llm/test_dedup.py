@@ -164,6 +164,26 @@ def test_near_copies_are_the_components_of_exact_links(spark, limit):
     assert found == want and 20 < sum(k != v for k, v in want.items()) < 140
 
 
+@pytest.mark.parametrize("rounds", [2, 0])
+def test_buckets_over_the_limit_lose_no_link(spark, monkeypatch, rounds):
+    """Large groups around one passage: copies of copies, texts of many sizes that hold it, with and without blocks to join them first."""
+    monkeypatch.setattr(simhash, "BLOCK_ROUNDS", rounds)
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    texts = [base]
+    for k in range(120):
+        own = list(rng.choice(texts[-30:]))
+        own[rng.randrange(len(own))] = f"edited{k}"
+        texts.append(own)
+    texts += [base[:n] + prose(rng, extra).split() for n in range(30, 120, 10) for extra in (0, 4, 30)]
+    texts = [" ".join(t) for t in texts]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts), limit=8).collect()}
+    sets = [decontaminate.shingle_texts(t) for t in texts]
+    alike = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    want = plain_components(range(len(texts)), alike)
+    assert found == want and 2 < len(set(want.values())) < len(texts) - 60
+
+
 def test_containment_search_matches_brute_force(spark):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (3, 5, 8, 20, 40, 60, 0)] + [None]
