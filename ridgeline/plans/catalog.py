@@ -6,6 +6,8 @@ computes the answer from the rows themselves, so neither side sees the other's b
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -735,6 +737,22 @@ def escape_symbols(spark, sf):
     return _coefficients(spark, sf).select("c").mapInArrow(run, "symbol long, extra long").groupBy("symbol", "extra").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""SELECT vec_id AS key, list_sum(list_transform(generate_series(1, 32), lambda k: (2 * k - 1) * (c[k] - c[k + 32]) + 2 * k * (c[k] + c[k + 32])))::BIGINT AS weighed
+           FROM (SELECT vec_id, {_COEF} AS c FROM embeddings)""")
+def wsq_even_filters(spark, sf):
+    """Lines of 32 low and 32 high samples by a table of filters of two taps: the sum of all pixels times their place."""
+
+    def run(batches):
+        low, high = wsq._read_filters(struct.pack(">BBBBIBBI", 2, 2, 0, 0, 1, 1, 0, 1))
+        for b in batches:
+            if len(b):
+                lines = b.column(1).flatten().to_numpy().reshape(len(b), 64).astype(np.float32)
+                made = wsq.synthesise(lines, False, low, high).astype(np.int64) @ np.arange(1, 65)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made)], ["key", "weighed"])
+
+    return _coefficients(spark, sf).select(F.col("vec_id").alias("key"), "c").mapInArrow(run, "key long, weighed long")
+
+
 @query("""WITH v AS (SELECT key, x * x * 4000 AS var, k FROM (SELECT vec_id AS key, unnest(embedding[1:60])::DOUBLE AS x, unnest(generate_series(0, 59)) AS k FROM embeddings)),
           r AS (SELECT key, k, var, CASE WHEN k < 4 THEN 1.0 ELSE 10 / (CASE k WHEN 52 THEN 1.32 WHEN 54 THEN 1.42 WHEN 56 THEN 1.32 WHEN 57 THEN 1.42 WHEN 53 THEN 1.08 WHEN 55 THEN 1.08
                 WHEN 58 THEN 1.08 WHEN 59 THEN 1.08 ELSE 1.0 END * ln(var)) END::DOUBLE AS rel, CASE WHEN k < 4 THEN 1 / 1024 WHEN k < 51 THEN 1 / 256 ELSE 1 / 16 END::DOUBLE AS w FROM v WHERE var >= 1.01),
