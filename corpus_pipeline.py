@@ -42,10 +42,11 @@ def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of near copies: that of the least doc_id, rows without an id last.
 
-    Components are those of simhash.near_copies (five-word similarity 0.8), wider than op9's four bits of 64.
+    Components are those of simhash.duplicates: op9's links, found as op9 finds them, whose texts agree to a half, and
+    links of texts that agree to 0.8, which most fingerprints miss (both by five-word shingles).
     """
     keyed = _keyed(docs)
-    found = cut(simhash.near_copies(keyed, _KEY), "pipeline-found")
+    found = cut(simhash.duplicates(keyed, _KEY), "pipeline-found")
     stay = F.col("component_id") == F.col("doc_id")
     kept = _without(keyed, found.where(~stay))
     # Rows of one key are copies of one another; few keys repeat, mostly none.

@@ -257,8 +257,16 @@ def _component_ids(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 # The search leaves a spanning forest of pairs that passed. Its edges are settled by the sets of shingles
 # themselves, as 48-bit hashes. A component whose edges all hold is done. Where one fails the component falls
 # into pieces; all members but those of its largest piece are compared with all members by their sets.
+#
+# duplicates() starts from the links of the fingerprints, found by the covering tables as for near_duplicates(),
+# and adds these. A fingerprint follows the shingles that a text repeats most, so texts that share little but a
+# repeated line may link: the links are settled by the sets too, at a half, and searched again in the same way.
+# They reach copies with edits all over, whose shingles agree to less than 0.8.
 
 COPY_WORDS = 5
+#: Kinds of links: what sets of shingles must agree to, as a fraction, and how many bits of the fingerprints may differ.
+COPY, PRINT = 0, 1
+RULES = ((4, 5, 64), (1, 2, RADIUS))
 #: Fewest bits of a bitmap (a power of two).
 MAP_BITS = 256
 #: Documents whose shingles are counted for the order, and most shingles that count as common.
@@ -350,8 +358,9 @@ def common_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
     return known[order], counts[order]
 
 
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes())
+def _node(shingles: np.ndarray, fp: int = 0) -> int:
+    """What texts of the same set and fingerprint share."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), fp % (1 << 64))
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -360,17 +369,20 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
-def _printer(shared):
+def _printer(shared, prints: bool):
+    """Rows with sets of shingles described, and with their fingerprints (zero unless prints)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             sets = [copy_shingles(t.as_py()) for t in b.column(1)]
-            node = np.array([_node(s) for s in sets], "u8").view("i8")
+            fps = [simhash(t.as_py()) if prints else 0 for t in b.column(1)]
+            node = np.array([_node(s, fp) for s, fp in zip(sets, fps)], "u8").view("i8")
             first = [prefix(s, shared.value).view("i8") for s in sets]
             columns = [
-                b.column(0), b.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
-                pa.array([parity(s) for s in sets], pa.binary()),
+                b.column(0), b.column(2), pa.array(node), pa.array(np.array(fps, "u8").view("i8")), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(first, pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "m", "first", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "fp", "m", "first", "bits"])
 
     return run
 
@@ -386,21 +398,24 @@ def _may_agree(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def _agree(x: tuple, rest: np.ndarray) -> np.ndarray:
-    """Whether sets of shingles agree with x to 0.8 or more, by count. Rows: (size, bitmap, set)."""
-    n, bits, own = x
+    """Whether sets of shingles agree with x to the share of its rule or more, by count. Rows: (size, bitmap, set, fingerprint, kind), of one kind."""
+    n, bits, own, fp, kind = x
+    part, whole, radius = RULES[kind]
     sizes = np.fromiter((r[0] for r in rest), np.int64, len(rest))
-    out = 5 * np.minimum(sizes, n) >= 4 * np.maximum(sizes, n)
+    out = whole * np.minimum(sizes, n) >= part * np.maximum(sizes, n)
+    if radius < 64:
+        out &= np.bitwise_count(np.fromiter((r[3] for r in rest), "u8", len(rest)) ^ fp) <= radius
     at = np.flatnonzero(out)
     if len(at):  # the bound of the bitmaps first
         differ = np.bitwise_count(np.stack([r[1] for r in rest[at]]) ^ bits).sum(axis=1, dtype=np.int64)
-        possible = 9 * differ <= sizes[at] + n
+        possible = (whole + part) * differ <= (whole - part) * (sizes[at] + n)
         out[at] = possible
         at = at[possible]
     if len(at):
         flat = np.concatenate([r[2] for r in rest[at]])
         same = own[np.minimum(np.searchsorted(own, flat), n - 1)] == flat
         both = np.add.reduceat(same.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
-        out[at] = 9 * both >= 4 * (sizes[at] + n)
+        out[at] = (whole + part) * both >= part * (sizes[at] + n)
     return out
 
 
@@ -470,8 +485,9 @@ def _by_set(members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sets = [_unpacked(x.as_buffer()) for x in members.field("shingles")]
     # Bitmaps as long as the largest set asks for, within 64 MB.
     bits = 1 << min(16, max(10, (2 * max(map(len, sets))).bit_length()), max(10, ((64 << 23) // len(sets)).bit_length() - 1))
+    fps, kinds = (members.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "kind"))
     for k, x in enumerate(sets):
-        out[k] = (len(x), np.frombuffer(parity(x, bits), "u8"), x)
+        out[k] = (len(x), np.frombuffer(parity(x, bits), "u8"), x, fps.view("u8")[k], kinds[k])
     yield members.field("node").to_numpy(zero_copy_only=False), out
 
 
@@ -542,13 +558,14 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 
 def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to (a, b, whether the sets agree to 0.8)."""
+    """(a, b, kind, set of a, set of b) to (a, b, kind, whether the sets agree to the share of the kind)."""
     for batch in batches:
         out = []
-        for k in range(len(batch)):
-            x, y = (_unpacked(batch.column(c)[k].as_buffer()) for c in (2, 3))
-            out.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "holds"])
+        for k, kind in enumerate(batch.column(2).to_pylist()):
+            x, y = (_unpacked(batch.column(c)[k].as_buffer()) for c in (3, 4))
+            part, whole, _ = RULES[kind]
+            out.append((whole + part) * len(np.intersect1d(x, y, assume_unique=True)) >= part * (len(x) + len(y)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(out, pa.bool_())], ["a", "b", "kind", "holds"])
 
 
 def _largest_pieces(members: DataFrame, key: str, size: str) -> DataFrame:
@@ -620,56 +637,88 @@ def prefix_links(prints: DataFrame, nodes: DataFrame, limit: int = BUCKET_LIMIT)
     return _links_of_large(members.join(large, "bucket", "left_semi"), found, limit).distinct()
 
 
+def print_links(nodes: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Edges (a, b) between nodes (node, fp) of equal or linked fingerprints, with the components of all such pairs."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-fps")
+    edges = spanning_forest(links(prints.select("fp"), limit))
+    of = lambda x: prints.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    same = attach(nodes.select("node", "fp"), prints.where("n > 1"), "fp", "n").where("node <> rep")
+    return cut(between.unionByName(same.select(F.col("node").alias("a"), F.col("rep").alias("b"))), "simhash-print-links")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, node) to (node, shingles) where the text is the node's."""
+    """(text, node, fp) to (node, shingles) where the text is the node's."""
     for b in _sliced(batches):
         found = [copy_shingles(t.as_py()) for t in b.column(0)]
-        own = pa.array([_node(s) == n % (1 << 64) for s, n in zip(found, b.column(1).to_pylist())], pa.bool_())
+        own = pa.array([_node(s, fp) == n % (1 << 64) for s, n, fp in zip(found, b.column(1).to_pylist(), b.column(2).to_pylist())], pa.bool_())
         packed = pa.array([_packed(s) for s in found], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column(1).filter(own), packed.filter(own)], ["node", "shingles"])
 
 
+def _of_kind(name: str) -> Column:
+    """A node as another one for each kind of links."""
+    return F.col(name).bitwiseXOR(F.xxhash64("kind"))
+
+
 def _exact_roots(edges: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """node, root of the components of all links of 0.8, for the nodes of a spanning forest (edges) of candidate links."""
-    uses = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
-    sets = cut(sets.join(uses, "node"), "simhash-sets")
+    """node, root of the components of all links, of all kinds, for the nodes of edges (a, b, kind): of each kind a spanning forest of its candidate links.
+
+    sets: node, fp, shingles and uses, the number of edges that a node has.
+    """
     of = lambda x: sets.select(F.col("node").alias(x), "uses", F.col("shingles").alias(f"of_{x}"))
-    both = attach(attach(edges, of("a"), "a", "uses"), of("b"), "b", "uses").select("a", "b", "of_a", "of_b")
-    tried = cut(both.mapInArrow(_hold, "a long, b long, holds boolean"), "simhash-tried")
+    both = attach(attach(edges, of("a"), "a", "uses"), of("b"), "b", "uses").select("a", "b", "kind", "of_a", "of_b")
+    tried = cut(both.mapInArrow(_hold, "a long, b long, kind int, holds boolean"), "simhash-tried")
     roots = cut(components(tried.where("holds").select("a", "b")), "simhash-pieces")
-    failed = tried.where("not holds").select(F.col("a").alias("node"))
+    failed = tried.where("not holds").select(_of_kind("a").alias("at"))
     if failed.isEmpty():
         return roots
-    loose = cut(components(edges), "simhash-loose")
-    torn = failed.join(loose, "node").select("root").distinct()
-    members = loose.join(torn, "root").join(roots.withColumnRenamed("root", "piece"), "node", "left").join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
-    members = cut(members.select("root", "node", F.coalesce("piece", "node").alias("piece"), F.expr("size div 6").alias("m")), "simhash-torn")
+    # Where a link fails, the component of its kind is compared anew but for what links of any kind have joined.
+    loose = cut(components(tried.select(_of_kind("a").alias("a"), _of_kind("b").alias("b"))), "simhash-loose").withColumnRenamed("node", "at")
+    torn = failed.join(loose, "at").select("root").distinct()
+    names = tried.select("kind", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("at", _of_kind("node"))
+    members = loose.join(torn, "root").join(names, "at").join(roots.withColumnRenamed("root", "piece"), "node", "left").join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
+    members = cut(members.select("root", "node", "kind", F.coalesce("piece", "node").alias("piece"), F.expr("size div 6").alias("m")), "simhash-torn")
     sizes = _largest_pieces(members, "root", "m")
-    members = members.join(sizes, "root").withColumn("minor", F.col("piece") != F.col("major")).join(sets.select("node", "shingles"), "node")
-    more = _dealt_minors(members, "root", ["shingles"], limit * BLOCK_SHINGLES).mapInArrow(_group_forests(_by_set, _agree), "a long, b long")
+    members = members.join(sizes, "root").withColumn("minor", F.col("piece") != F.col("major")).join(sets.select("node", "shingles", "fp"), "node")
+    more = _dealt_minors(members, "root", ["shingles", "fp", "kind"], limit * BLOCK_SHINGLES).mapInArrow(_group_forests(_by_set, _agree), "a long, b long")
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return cut(components(stars.unionByName(more)), "simhash-roots")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_LIMIT) -> DataFrame:
-    """doc_id, component_id for every row: documents whose five-word shingles agree to 0.8 or more share a component.
+    """doc_id, component_id for every row: documents whose five-word shingles agree to 0.8 or more share a component."""
+    return _linked(docs, id_col, text_col, limit, False)
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_LIMIT) -> DataFrame:
+    """doc_id, component_id for every row: near duplicates share a component.
 
-    Texts are read twice: once for bitmaps and prefixes, and again, for nodes with a candidate link only, for their sets.
+    A link: fingerprints within RADIUS of texts whose five-word shingles agree to a half, or shingles that agree to 0.8.
     """
+    return _linked(docs, id_col, text_col, limit, True)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, limit: int, by_print: bool) -> DataFrame:
+    """Texts are read twice: once for fingerprints, bitmaps and prefixes, and again, for nodes with a candidate link only, for their sets."""
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(made))
-    prints = cut(made.mapInArrow(_printer(common), f"doc_id {kind}, h long, node long, m long, first array<long>, bits binary"), "simhash-prints")
-    same = [F.first(c).alias(c) for c in ("m", "bits")]  # equal for all rows of a node
+    prints = cut(made.mapInArrow(_printer(common, by_print), f"doc_id {kind}, h long, node long, fp long, m long, first array<long>, bits binary"), "simhash-prints")
+    same = [F.first(c).alias(c) for c in ("fp", "m", "bits")]  # equal for all rows of a node
     rep = F.min(F.struct("doc_id", "h")).alias("rep")
     nodes = cut(prints.groupBy("node").agg(*same, F.min("doc_id").alias("least"), rep, F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    edges = spanning_forest(prefix_links(prints, nodes, limit))
-    named = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.join(named, "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("rep_h")), "simhash-wanted")
+    edges = spanning_forest(prefix_links(prints, nodes, limit)).withColumn("kind", F.lit(COPY))
+    if by_print:
+        edges = print_links(nodes, limit).withColumn("kind", F.lit(PRINT)).unionByName(edges)
+    uses = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
+    wanted = cut(nodes.join(uses, "node").select("node", "fp", "uses", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("rep_h")), "simhash-wanted")
     near = small(wanted)
-    texts = made.join(near, (made["h"] == near["rep_h"]) & made["doc_id"].eqNullSafe(near["id"])).select("text", "node")
+    texts = made.join(near, (made["h"] == near["rep_h"]) & made["doc_id"].eqNullSafe(near["id"])).select("text", "node", "fp")
     sets = texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    ids = _component_ids(nodes.select("node", "least", "n"), _exact_roots(edges, sets, limit), "node")
+    sets = cut(sets.join(wanted.select("node", "fp", "uses"), "node"), "simhash-sets")
+    roots = _exact_roots(edges, sets, limit)
+    ids = _component_ids(nodes.select("node", "least", "n"), roots, "node")
     return attach(prints.select("doc_id", "node"), ids, "node", "n").select("doc_id", "component_id")
 
 

@@ -184,6 +184,54 @@ def test_buckets_over_the_limit_lose_no_link(spark, monkeypatch, rounds):
     assert found == want and 2 < len(set(want.values())) < len(texts) - 60
 
 
+def around(rng, passage, times, tail):
+    """A text whose fingerprint follows a passage that it repeats, and that ends in words of its own."""
+    return " ".join([*passage * times, *prose(rng, tail).split()])
+
+
+def checked_link(texts):
+    """The links of simhash.duplicates, from plain fingerprints and sets."""
+    fps, sets = [plain_simhash(t) for t in texts], [decontaminate.shingle_texts(t) for t in texts]
+
+    def linked(i, j):
+        both, sizes = len(sets[i] & sets[j]), len(sets[i]) + len(sets[j])
+        return 9 * both >= 4 * sizes or ((fps[i] ^ fps[j]).bit_count() <= 4 and 3 * both >= sizes)
+
+    return fps, sets, linked
+
+
+@pytest.mark.parametrize("limit", [1 << 14, 4])
+def test_duplicates_are_the_components_of_fingerprint_links_and_copies(spark, limit):
+    rng = random.Random(23)
+    texts = ["", "  "]
+    for _ in range(6):
+        passage = prose(rng, 61).split()
+        texts += [around(rng, passage, 20, tail) for tail in (8, 12, 15, 18, 40, 60, 60)]  # from 0.8 to well under a half
+    line = prose(rng, 11).split()
+    pages = [around(rng, line, 60, 150) for _ in range(12)]  # one line over and over, and texts that share nothing else
+    texts += pages + [f"{p} more" for p in pages[:3]] + [prose(rng, 90) for _ in range(6)]
+    fps, sets, linked = checked_link(texts)
+    want = plain_components(range(len(texts)), linked)
+    found = {r.doc_id: r.component_id for r in simhash.duplicates(frame(spark, texts), limit=limit).collect()}
+    assert found == want
+    copies = plain_components(range(len(texts)), lambda i, j: 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])))
+    prints = plain_components(range(len(texts)), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    assert len(set(prints.values())) < len(set(want.values())) - 10 and len(set(want.values())) < len(set(copies.values())) - 5
+
+
+def test_near_duplicate_stage_takes_fingerprint_links(spark):
+    import corpus_pipeline
+
+    rng = random.Random(24)
+    passage, line = prose(rng, 61).split(), prose(rng, 11).split()
+    texts = [around(rng, passage, 20, 15), around(rng, passage, 20, 15), around(rng, line, 60, 150), around(rng, line, 60, 150)]
+    fps, sets, _ = checked_link(texts)
+    shares = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2)]
+    assert all((fps[i] ^ fps[i + 1]).bit_count() <= 4 for i in (0, 2)) and 0.5 <= shares[0] < 0.8 and shares[1] < 0.1
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
 def test_containment_search_matches_brute_force(spark):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (3, 5, 8, 20, 40, 60, 0)] + [None]
